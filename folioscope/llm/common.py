@@ -77,3 +77,21 @@ def lists(flat, ends, kind=None) -> pa.Array:
     """An arrow list array of the flat values cut at the ends."""
     values = flat if isinstance(flat, pa.Array) else pa.array(flat, kind)
     return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
+
+def numbered(text: str, get, piece: int = 1 << 20):
+    """An int64 array of get(word) of each word of the text; long texts are cut between words, so few words live at once."""
+    import numpy as np
+
+    data = text.encode("utf-8", "surrogatepass").translate(_FOLD)
+    if len(data) <= piece:
+        words = data.split()
+        return np.fromiter(map(get, words), np.int64, len(words))
+    out, at = [], 0
+    while at < len(data):
+        end = at + piece
+        end = len(data) if end >= len(data) else (data.find(b" ", end) % (len(data) + 1))
+        words = data[at:end].split()
+        out.append(np.fromiter(map(get, words), np.int64, len(words)))
+        at = end
+    return np.concatenate(out)
