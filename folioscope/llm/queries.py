@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, quality, toxicity, warc
+from . import bpe, chat_format, decontaminate, near_dedup, quality, toxicity, warc
 from .common import scratch, table
 
 
@@ -59,7 +59,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_warc, op4_bpe, op7_quality, op8_decontaminate, op9_toxicity)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_warc, op4_bpe, op7_quality, op8_decontaminate, op9_toxicity, op10_near_dedup)}
 
 _ESCAPED = r"regexp_replace(regexp_replace({}, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"
 
