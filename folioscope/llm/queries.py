@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, near_dedup, pii, quality, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat_format, decontaminate, near_dedup, pii, quality, suffix_dedup, toxicity, warc
 from .common import scratch, table
 
 
@@ -57,6 +57,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     text = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -76,7 +80,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_warc, op4_bpe, op6_pii, op7_quality, op8_decontaminate, op9_toxicity, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_warc, op4_bpe, op5_nearest, op6_pii, op7_quality, op8_decontaminate, op9_toxicity, op10_near_dedup)}
 
 _ESCAPED = r"regexp_replace(regexp_replace({}, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"
 
