@@ -56,10 +56,10 @@ def write_archives(
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("urn:none")), r"[\r\n]", "%0A").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.monotonically_increasing_id().alias("row"),
-    ).withColumns({"digest": base32(F.sha1("payload")), "n": F.octet_length("payload")})
+    ).withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    first = p.select("digest", key.alias("k")).groupBy("digest").agg(F.min("k").alias("first"))
-    p = p.join(first, "digest")
+    first = p.select("sha", key.alias("k")).groupBy("sha").agg(F.min("k").alias("first"))
+    p = p.join(first, "sha").withColumn("digest", base32(F.col("sha")))
     name = lambda i, r: F.concat_ws("-", F.coalesce(i.cast("string"), F.lit("null")), r.cast("string"))
     own, of = name(F.col("id"), F.col("row")), name(F.col("first.id"), F.col("first.row"))
     again = (F.col("n") >= revisit_from) & (F.col("first.row") != F.col("row"))
