@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,6 +50,7 @@ class Encoder:
         self.pieces = Memo(self._piece)
         self.spaced = Memo(self._spaced)
         self.decoded = Memo(self._decoded)
+        self.packed = Memo(lambda ids: np.array(ids.split(" "), np.int32).tobytes())
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of lowest rank, leftmost first, until no pair has a rank."""
@@ -130,16 +132,15 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         enc = encoder(vocabulary(vocab))
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():
                 found = enc.chunks(text)
-                ids.append([int(i) for c in found for i in c.split(" ")])
+                ids.append(b"".join([enc.packed[c] for c in found]))
                 decoded.append(" ".join([enc.decoded[c] for c in found]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                names=["id", "n_tokens", "ids", "decoded"],
-            )
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), held, pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
