@@ -320,7 +320,7 @@ def table_markdown(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", T.markdown_table(cells).alias("markdown"))
 
 
-@query("""SELECT n_nationkey, '列1 | 列2' || chr(10) || n_name || ' | a b' || chr(10) || CAST(n_regionkey AS VARCHAR) || ' | ' AS plain, CASE WHEN n_nationkey > 1 THEN '表格 ' || CAST(n_nationkey AS VARCHAR) ELSE '表格' END AS title, left(n_name, 15) AS named FROM nation""")
+@query("""SELECT n_nationkey, '列1 | 列2' || chr(10) || n_name || ' | a b' || chr(10) || CAST(n_regionkey AS VARCHAR) || ' | ' AS plain, CASE WHEN n_nationkey > 1 THEN '表格 ' || CAST(n_nationkey AS VARCHAR) ELSE '表格' END AS title, left(n_name || '”', 15) AS named FROM nation""")
 def table_normalize(spark, sf_dir):
     none = F.lit(None).cast("string")
     cells = F.array(F.array(none, F.lit("  ")), F.array(F.concat(F.lit(" "), "n_name"), F.lit("a\t  b\r\nPage 1 of 2")), F.array(F.lit(" "), none), F.array(F.col("n_regionkey").cast("string")))
@@ -425,7 +425,7 @@ def event_windows(spark, sf_dir):
     return tasks.windowed(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS h1, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM pages""")
+@query("""SELECT page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM pages""")
 def html_items(spark, sf_dir):
     i = files.html_items(read(spark, sf_dir, "pages"))
     return i.groupBy("page_id").agg(F.first(F.when(F.col("level") == 1, F.col("text")), True).alias("h1"), F.count(F.lit(1)).alias("n")).join(files.html_items(read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"(?is)<(?!/?li\b)[^>]*>", "").alias("html"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("items")), "page_id").select("page_id", "h1", "items")
