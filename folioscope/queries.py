@@ -30,6 +30,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    """Positions as long, as SQL counts them."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 _ROLE = "CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END"
 
 
@@ -63,7 +68,7 @@ def _word(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_WORD_BLOCKS}
 SELECT doc_id, block_no, t AS normalized_text, CAST(s AS BIGINT) AS char_start_in_doc, CAST(s + length(t) - 1 AS BIGINT) AS char_end_in_doc, {_TOKENS.format("t")} AS token_count FROM w""")
 def doc_blocks(spark, sf_dir):
-    return _word(spark, sf_dir).select("doc_id", "block_no", "normalized_text", "char_start_in_doc", "char_end_in_doc", "token_count")
+    return longs(_word(spark, sf_dir).select("doc_id", "block_no", "normalized_text", "char_start_in_doc", "char_end_in_doc", "token_count"), "block_no", "token_count")
 
 
 @query(f"""WITH {_STRIPPED}, g AS (SELECT *, (line_num - 1) // 3 + 1 AS page_no, lead(line_num) OVER (PARTITION BY doc_id, (line_num - 1) // 3 ORDER BY line_num) IS NULL AS last FROM b)
@@ -73,7 +78,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_num) AS bloc
   CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY line_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start_in_page FROM g""")
 def doc_blocks_pdf_offsets(spark, sf_dir):
     pages = B.pages_of_lines(read(spark, sf_dir, "documents"), 3)
-    return B.pdf_blocks(pages).select("doc_id", "block_no", "page_no", "block_order_in_page", "char_start_in_doc", "char_start_in_page")
+    return longs(B.pdf_blocks(pages).select("doc_id", "block_no", "page_no", "block_order_in_page", "char_start_in_doc", "char_start_in_page"), "block_no", "block_order_in_page")
 
 
 @query(f"""{_WORD_BLOCKS} SELECT doc_id, count(*) AS block_count, CAST(sum(length(t)) AS BIGINT) AS char_count, CAST(sum({_TOKENS.format("t")}) AS BIGINT) AS token_count FROM w GROUP BY doc_id""")
@@ -105,7 +110,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MD} SELECT * FROM h")
 def md_headings(spark, sf_dir):
-    return files.markdown_headings(markdown(spark, sf_dir))
+    return longs(files.markdown_headings(markdown(spark, sf_dir)), "line_num")
 
 
 @query(f"""WITH {_MD}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_num) AS pos, lead(line_num) OVER (PARTITION BY doc_id ORDER BY line_num) AS nxt FROM h WHERE level IS NOT NULL)
@@ -113,7 +118,7 @@ SELECT n.doc_id, n.pos, n.title, string_agg(l.t, chr(10) ORDER BY l.line_num) AS
 def section_text(spark, sf_dir):
     docs = markdown(spark, sf_dir)
     nodes = files.markdown_nodes(docs).withColumnRenamed("line_num", "start")
-    return link.node_text(nodes, B.lines(docs).withColumnRenamed("line_num", "line"), "start", "end_line", "line", ["line"], separator="\n").select("doc_id", "pos", "title", "node_text")
+    return link.node_text(nodes, B.lines(docs).withColumnRenamed("line_num", "line"), "start", "end_line", "line", ["line"], separator="\n").select("doc_id", F.col("pos").cast("long").alias("pos"), "title", "node_text")
 
 
 @query(f"WITH {_TREE} SELECT doc_id, pos, parent_pos, subtree_end FROM p")
@@ -311,7 +316,7 @@ def bbox_suppress(spark, sf_dir):
 
 @query(f"""WITH {_BOXES} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN pos = 2 THEN NULL ELSE round(y0, 2) END NULLS LAST, CASE WHEN pos = 2 THEN NULL ELSE round(x0, 2) END NULLS LAST, pos) AS item_no FROM b""")
 def page_order(spark, sf_dir):
-    return B.page_order(boxes(spark, sf_dir).withColumn("bbox", F.when(F.col("pos") != 2, F.col("bbox")))).select("doc_id", "pos", "item_no")
+    return longs(B.page_order(boxes(spark, sf_dir).withColumn("bbox", F.when(F.col("pos") != 2, F.col("bbox")))).select("doc_id", "pos", "item_no"), "item_no")
 
 
 @query("""SELECT n_nationkey, '| name | a\\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | x y |' || chr(10) || '| ' || CAST(n_regionkey AS VARCHAR) || ' |  |' AS markdown FROM nation""")
@@ -372,7 +377,7 @@ _CHOSEN = f"{_RANGED}, ch AS (SELECT doc_id, 0 AS place, arg_max(pos, pos) AS po
 @query(f"""WITH {_CHOSEN}, x AS (SELECT doc_id, place, unnest(generate_series(a, b)) AS page_no FROM z), f AS (SELECT doc_id, page_no, min(place) AS place FROM x GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, page_no) AS rank, page_no FROM f""")
 def page_selection(spark, sf_dir):
-    return search.pages_of(ranged(spark, sf_dir), chosen(spark, sf_dir))
+    return longs(search.pages_of(ranged(spark, sf_dir), chosen(spark, sf_dir)), "rank")
 
 
 @query(f"WITH {_CHOSEN} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY place) AS context FROM z GROUP BY doc_id")
@@ -452,4 +457,4 @@ SELECT doc_id, pos, start_block_no AS start_block, coalesce(lead(start_block_no)
 def block_ranges(spark, sf_dir):
     b = _word(spark, sf_dir)
     o = b.filter("block_no % 4 = 1").selectExpr("doc_id", "block_no AS start_block_no", "(block_no - 1) DIV 4 + 1 AS pos")
-    return outline.block_ranges(o, b.groupBy("doc_id").agg(F.max("block_no").alias("max_block"))).select("doc_id", "pos", "start_block", "end_block")
+    return outline.block_ranges(o, b.groupBy("doc_id").agg(F.max("block_no").alias("max_block"))).select("doc_id", "pos", F.col("start_block").cast("long").alias("start_block"), F.col("end_block").cast("long").alias("end_block"))
