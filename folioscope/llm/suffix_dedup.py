@@ -338,8 +338,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("h"))
-    short = rows.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
+    rows = rows.select("id", "text", "sha", F.substring("sha", 1, 16).alias("h"))  # half of it names a text in what is shuffled
+    short = rows.select("id", "h", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
     copies = short.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     found = _anchor_table(rows, length, gram)
     place = F.xxhash64("h", "a")  # copies of a text share it, so their anchors alone do not count
@@ -351,6 +352,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows.join(wanted.select("h", "marks", "copies", F.col("first").alias("id_first")), (rows["h"] == wanted["h"]) & rows["id"].eqNullSafe(F.col("id_first"))).select(rows["h"], "text", "marks", "copies"),
         "marked",
     )
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written
     spans = _repeats(_contexts(held, length), length).groupBy("h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(batches):
@@ -376,5 +378,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias(id_col),
         "n_bytes",
         F.when(gone, F.array(whole)).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("h")))).alias("kept_sha256"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
