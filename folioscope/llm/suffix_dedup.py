@@ -23,7 +23,7 @@ from .near_dedup import mix
 
 LENGTH, GRAM = 400, 64
 #: Bytes sorted by quicksort, bytes of text that one pass of the rolling hash takes, contexts sorted at once.
-SHALLOW, PASS, AT_ONCE = 96, 1 << 20, 16_384
+SHALLOW, PASS, AT_ONCE = 96, 1 << 18, 16_384
 #: Anchors of one gram above which its windows are dealt by slices of SLICE offsets and the bytes that a slice shares.
 HOT, SLICE = 4096, 48
 
@@ -248,23 +248,34 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(marked: DataFrame, length: int) -> DataFrame:
     """A row for each anchor (hot: for each slice of its windows) with the bytes that its windows cover."""
 
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def sent(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "h", "a", "lo", "hi", "bytes"])
+
     def run(batches):
-        for batch in batches:
-            for h, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, rows = text.encode("utf-8", "surrogatepass"), []
-                for m in marks:
-                    a, lo, hi, gram = m["a"], m["lo"], m["hi"], m["gram"]
-                    if not m["hot"]:
+        # Few documents at a time, and their marks as columns: a batch of many marks as objects would fill a worker.
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
+            flat = batch.column(2).flatten()
+            columns = [flat.field(name).to_pylist() for name in ("a", "lo", "hi", "gram", "hot")]
+            ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))]).tolist()
+            rows = []
+            for d, (h, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                data = text.encode("utf-8", "surrogatepass")
+                for a, lo, hi, gram, hot in zip(*(c[ends[d] : ends[d + 1]] for c in columns), strict=True):
+                    if not hot:
                         rows.append((gram, h, a, lo, hi, data[lo : hi + length]))
-                        continue
-                    for s in range((a - hi) // SLICE * SLICE, a - lo + 1, SLICE):
+                    for s in range((a - hi) // SLICE * SLICE, a - lo + 1, SLICE) if hot else ():
                         # Windows s to s + SLICE - 1 before the anchor all cover these bytes, so the text has them all.
                         first, last = max(lo, a - s - SLICE + 1), min(hi, a - s)
                         core = data[a - s : a - s - SLICE + 1 + length]
                         key = int.from_bytes(hashlib.blake2b(s.to_bytes(4, "little") + core, digest_size=8, key=gram.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
                         rows.append((key, h, a, first, last, data[first : last + length]))
-                for i in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "h", "a", "lo", "hi", "bytes"])
+                    if len(rows) >= 2048:
+                        yield sent(rows)
+                        rows = []
+            if rows:
+                yield sent(rows)
 
     return marked.select("h", "text", "marks").mapInArrow(run, "key long, h binary, a long, lo long, hi long, bytes binary")
 
