@@ -102,6 +102,11 @@ class Limiter:
             self.sleep(self.seconds - (now - self.times[0]))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, so that replies are not asked for again: a checkpoint in spark.checkpoint.dir, or cached without one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def prompt_of(name: str, **columns: Column) -> Column:
     """The template with columns in its {places}, doubled braces as single ones."""
     out = F.lit(PROMPTS[name].replace("{{", "\x01").replace("}}", "\x02"))
@@ -200,12 +205,13 @@ def repaired(items: DataFrame, pages: DataFrame, client: Client, rounds: int = 3
     """items (doc_id, pos, title, physical_index, correct boolean, page_count) after up to `rounds` of repair.
 
     Each wrong item is asked for again between its right neighbours, and the page found is checked; rounds end when none
-    is wrong. The number of rounds is fixed, so lineage stays short.
+    is wrong. Each round is kept, so that lineage stays short and replies are asked for once.
     """
     from folioscope.functions.text import tagged_number
     from folioscope.operators.outline import repair_bounds
 
     for _ in range(rounds):
+        items = kept(items)
         wrong = repair_bounds(items, ~F.col("correct"))
         if wrong.limit(1).count() == 0:
             break

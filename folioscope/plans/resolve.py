@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import dots_to_colon, page_number, tokens
 from folioscope.operators import outline, packing, tree
 from folioscope.operators.blocks import page_text
-from folioscope.operators.enrich import Client, called, outline_items, outlined, prompt_of, repaired, yes
+from folioscope.operators.enrich import Client, called, kept, outline_items, outlined, prompt_of, repaired, yes
 
 Pages = DataFrame  #: doc_id, page_no, text: one row per page
 
@@ -79,14 +79,16 @@ def resolved(pages: Pages, client: Client, within: int = 3, rounds: int = 3) ->
     the rest go on to the mode without contents; a document that fails there too has the status error and no items,
     and the others go on.
     """
-    listed = contents_items(contents_text(pages, contents_run(pages, client, within)), client)
+    listed = kept(contents_items(contents_text(pages, contents_run(pages, client, within)), client))
     counts = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
     numbered = outline.within_pages(by_offset(listed, pages, client), counts).select("doc_id", "pos", "structure", "title", "physical_index")
-    first = checked(numbered, pages, client)
+    first = kept(checked(kept(numbered), pages, client))
     good = verdicts(first).filter("verdict <> 'next'").select("doc_id", "accuracy", F.lit("contents").alias("mode"))
+    good = kept(good)
     rest = pages.join(good.select("doc_id"), "doc_id", "left_anti")
-    second = checked(without_contents(rest, client), pages, client)
+    second = kept(checked(kept(without_contents(rest, client)), pages, client))
     fair = verdicts(second).filter("verdict <> 'next'").select("doc_id", "accuracy", F.lit("no contents").alias("mode"))
+    fair = kept(fair)
     modes = good.unionByName(fair)
     both = first.join(good.select("doc_id"), "doc_id", "left_semi").unionByName(second.join(fair.select("doc_id"), "doc_id", "left_semi"))
     items = repaired(both, pages, client, rounds).select("doc_id", "pos", "structure", "title", "physical_index", "appear_start")
