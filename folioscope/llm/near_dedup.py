@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Memo, cut, numbered
 from .components import components
@@ -23,8 +24,10 @@ from .components import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 REGISTERS = BANDS * ROWS
 _BATCH = 256
-#: Star rounds go on while the pairs left between components of a bucket are more than so many times the bucket rows.
-_DENSE = 8
+#: Rows of a bucket up to which members of different components are compared with each other.
+_SMALL = 16
+#: Rounds of comparisons with a further pivot go on while they bring the rows outside main components below this share.
+_SHRINK = 0.8
 
 _word_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w) >> 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -151,48 +154,82 @@ def _pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return cut(p.join(tested, ["a", "b"], "left_anti") if tested is not None else p, "near-pairs")
 
 
+def _prefixes(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """node, comp, rest, shingle: the rarest shingles of each of the nodes (columns node, comp, rest, least).
+
+    Two sets with an overlap of o have a common one among the size - o + 1 rarest of either, in any order of shingles
+    that is the same for both. o is what similarity to the smallest possible partner needs: at least `least` shingles.
+    Shingles that no other of the nodes has take their places but are left out, as they match nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            flat = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            size = [len(x) for x in flat]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(flat))], names=["node", "shingle"])
+
+    held = sets.join(nodes, "node")
+    rows = held.select("node", "set").mapInArrow(run, "node binary, shingle long")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = rows.join(common, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    size = (F.octet_length("set") / 8).cast("long")
+    own = ranked.groupBy("node").agg(F.max("rank").alias("known"))
+    overlap = F.ceil(similarity / (1 + similarity) * (size + F.greatest(F.col("least"), F.ceil(similarity * size - 1e-6))) - 1e-6)
+    places = held.join(own, "node").select("node", "comp", "rest", (F.col("known") - overlap + 1).alias("places"))
+    return ranked.join(places, "node").filter("rank <= places").select("node", "comp", "rest", "shingle")
+
+
 def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that join every two nodes which share a band and are similar enough, directly or by a path.
 
-    A bucket's members are compared with one pivot, not with each other. Members of a bucket that then stand in
-    different components are compared with further pivots and at last with the members of the other components, so no
-    link that would join two components is left out, and no bucket is gathered in one place.
+    A bucket's members are compared with one pivot, the one that shares most bands with others, not with each other.
+    Members outside a bucket's largest component are compared with the most central of them, round after round while
+    that brings components together. Members of different components that are left are compared with each other in
+    small buckets, and in large ones where their rarest shingles meet, which they must if they are similar. So no link
+    that would join two components is left out, and no bucket is gathered in one place.
     """
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("id", "bands")).alias("r")).select("node", "r.id", "r.bands")
-    nodes = cut(nodes, "near-nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    members = cut(rows.join(shared, "key"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
+    rows = cut(nodes.select("node", "id", F.explode("bands").alias("key")), "near-nodes")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = rows.join(shared, "key")
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    members = cut(members.join(central, "node"), "near-members")
+    pivots = members.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     if docs.select(id_col).distinct().count() < docs.count():  # rows that repeat must not repeat sets
         docs = docs.select(id_col, text_col).distinct()
-    sets = _sets(docs, wanted, id_col, text_col)
-    tested = _pairs(members.filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None)
+    sets = _sets(docs, members.select("node", "id").distinct(), id_col, text_col)
+    tested = _pairs(members.join(pivots, "key").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None)
     found = _verified(tested, sets, similarity)
-    turn, before = 0, None
+    members, before = members.select("key", "node", "met", "n"), None
     while True:
-        turn += 1
-        at = components(found)
-        placed = members.select("key", "node").join(at, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        groups = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-        buckets = groups.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows"), F.max(F.struct("n", "comp", "p")).alias("main")).filter("comps > 1")
-        buckets = cut(buckets.select("key", "rows", (F.col("rows") - F.col("main.n")).alias("rest"), F.col("main.comp").alias("main"), F.col("main.p.node").alias("pivot")), "near-open")
-        held = buckets.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rest"))).first()
-        if not held[0]:
-            return found
-        open_ = placed.join(buckets, "key")
-        last = held[1] <= _DENSE * held[0] or (before is not None and held[1] > 0.7 * before)
-        before = held[1]
-        if last:
-            other = placed.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"))
-            new = open_.filter("comp != main").join(other, "key").filter("comp != comp_y AND (comp_y = main OR node < y)").select(F.col("node").alias("x"), "y")
-        else:  # the rest against a further pivot of the largest component
-            new = open_.filter("comp != main").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        placed = members.join(components(found), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
+        members = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key").withColumn("rest", F.col("comp") != F.col("main")), "near-open")
+        left = members.filter("rest AND n > " + str(_SMALL)).count()
+        if before is not None and left > _SHRINK * before or before == 0:
+            break
+        rest = members.filter("rest")
+        pivots = rest.filter(F.col("n") > _SMALL).groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+        new = rest.join(pivots, "key").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        if before is None:
+            few = members.filter(F.col("n") <= _SMALL)
+            other = few.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
+            new = new.unionByName(few.filter("rest").join(other, "key").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
         new = _pairs(new, tested)
-        more = _verified(new, sets, similarity)
-        found, tested = found.unionByName(more), tested.unionByName(new)
-        if last:
+        found, tested = found.unionByName(_verified(new, sets, similarity)), tested.unionByName(new)
+        before, members = left, members.select("key", "node", "met", "n")
+        if not left:
             return found
+    sizes = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
+    large = members.filter(F.col("n") > _SMALL)
+    least = large.join(sizes, "node").groupBy("key").agg(F.min("size").alias("least"))
+    last = cut(large.join(least, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.max("rest").alias("rest"), F.min("least").alias("least")), "near-last")
+    rare = cut(_prefixes(sets, last, similarity), "near-rare")
+    mixed = rare.groupBy("shingle").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p != q").select("shingle")
+    rare = rare.join(mixed, "shingle")
+    other = rare.select("shingle", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
+    new = rare.filter("rest").join(other, "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y")
+    return found.unionByName(_verified(_pairs(new, tested), sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
