@@ -352,13 +352,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
     rows = rows.select("id", "text", "sha", F.substring("sha", 1, 16).alias("h"))  # half of it names a text in what is shuffled
     short = rows.select("id", "h", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    copies = short.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    copies = cut(short.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")), "copies")
     found = _anchor_table(rows, length, gram)
     place = F.xxhash64("h", "a")  # copies of a text share it, so their anchors alone do not count
     shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.max(place).alias("q")).filter("p != q").select("gram", (F.col("n") > HOT).alias("hot"))
     marks = found.join(shared, "gram").groupBy("h").agg(F.collect_set(F.struct("a", "lo", "hi", "gram", "hot")).alias("marks"))
     # One row of each text: that of its smallest id, so that copies of a text are spread over tasks.
-    wanted = marks.join(copies, "h")
+    wanted = cut(marks.join(copies, "h"), "marks")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the anchors' shuffle files before texts move
     held = cut(
         rows.join(wanted.select("h", "marks", "copies", F.col("first").alias("id_first")), (rows["h"] == wanted["h"]) & rows["id"].eqNullSafe(F.col("id_first"))).select(rows["h"], "text", "marks", "copies"),
         "marked",
