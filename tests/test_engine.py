@@ -313,3 +313,28 @@ def test_sinks(spark, tmp_path):
     assert [r.block_no for r in export.content_images(b).collect()] == [1]
     export.write_results(spark.createDataFrame([('{"a":1}',)], "result string"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first().a == 1
+
+
+def test_box_queries_take_every_box(spark, tmp_path):
+    from folioscope.queries import QUERIES
+
+    rng = random.Random(12)
+    docs = [1, 2, 2000, 2001, 9000, 9001, 5_000_000]
+    items = [(d, p, float(rng.randrange(1, 51)), rng.randrange(0, 9) / 100) for d in docs for p in range(1, 8)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(d,) for d in docs if d != 9001], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def covered(d, p, x, y):
+        if d == 9001 or (p % 3 == 0 and d % 2):
+            return False
+        return max(0, min(x + 10, 40) - max(x, 10)) * max(0, min(y + 5, 7) - max(y, 1)) / 50 > 0.3
+
+    kept = sorted((d, p) for d, p, x, t in items if not covered(d, p, x, t * 100))
+    got = sorted(map(tuple, QUERIES["bbox_suppress_all"](spark, str(tmp_path)).collect()))
+    assert got == kept and 0 < len(kept) < len(items) and max(d for d, _ in got) == 5_000_000
+    order = []
+    for d in docs:
+        rows = sorted((i for i in items if i[0] == d), key=lambda i: (i[1] == 2, round(i[3] * 100, 2) if i[1] != 2 else 0, i[2] if i[1] != 2 else 0, i[1]))
+        order += [(d, i[1], n) for n, i in enumerate(rows, 1)]
+    assert sorted(map(tuple, QUERIES["page_order_all"](spark, str(tmp_path)).collect())) == sorted(order)
+    assert sorted(map(tuple, QUERIES["bbox_suppress"](spark, str(tmp_path)).collect())) == [x for x in kept if x[0] <= 2000]
