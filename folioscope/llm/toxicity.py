@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, beginnings of words, and either of them met twice or three times; the vocabulary holds those that a
-bounded labelled sample ties to the label most (chi squared). Document counts come from all documents. Labelled
-examples stand in blocks; a block whose bound, the sum of query weights times the block's largest weights, cannot reach
+Terms are words, beginnings of words, and either of them met twice or three times; the vocabulary holds all that a
+bounded labelled sample ties to the label (enough positive documents, and three times as frequent there). Document
+counts come from all documents. Labelled examples are sparse rows and stand in blocks; a block whose bound, the sum of query weights times the block's largest weights, cannot reach
 the nearest found so far is skipped, so the neighbours are exactly those that a full comparison finds.
 """
 
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from .common import Memo, cut, words_of
 from .labelled import joined, remainder, sampled
 
-#: Terms, labelled rows at most, neighbours, power of the cosine that weighs a vote, least positive documents of a term.
-TERMS, SAMPLE, NEIGHBOURS, POWER, SUPPORT = 256, 4096, 15, 4, 5
+#: Labelled rows at most, neighbours, power of the cosine that weighs a vote, least positive documents of a term.
+SAMPLE, NEIGHBOURS, POWER, SUPPORT = 4096, 15, 4, 5
 THRESHOLD, MOD, HELD_OUT, BLOCK = 0.5, 5, 0, 64
-_FLUSH, _BATCH = 256, 512
+#: Documents a batch, and numbers in the dense queries of one.
+_FLUSH, _BATCH, _CELLS = 256, 512, 1 << 20
 
 
 def _begins(word: bytes) -> tuple[str, ...]:
@@ -44,8 +45,8 @@ def terms_of(text: str, of=_begins) -> dict[str, int]:
     return out
 
 
-def vocabulary(docs: DataFrame, sample: DataFrame, rows: int, size: int = TERMS) -> list[str]:
-    """Terms of the labelled sample by chi squared, ties by name; only those more frequent with label 1."""
+def vocabulary(docs: DataFrame, sample: DataFrame, rows: int) -> list[str]:
+    """All terms of the labelled sample that are more frequent with label 1, by name; the sample bounds them."""
 
     def run(batches):
         held, n = (Counter(), Counter()), 0
@@ -63,11 +64,9 @@ def vocabulary(docs: DataFrame, sample: DataFrame, rows: int, size: int = TERMS)
     n1, n0 = totals[0] or 0, totals[1] - (totals[0] or 0)
     if not n1 or not n0:
         return []
-    a, b, all_ = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
-    chi = F.lit(all_) * F.pow(a * n0 - b * n1, 2) / (F.lit(float(n1) * n0) * (a + b) * (F.lit(all_) - a - b + 1e-9))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
     found = chosen.mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = found.filter((F.col("a") >= SUPPORT) & (a / n1 > 3 * b / n0)).orderBy(F.desc(chi), "term").limit(size)
-    return [r["term"] for r in best.collect()]
+    return sorted(r["term"] for r in found.filter((F.col("a") >= SUPPORT) & (a / n1 > 3 * b / n0)).collect())
 
 
 def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -100,34 +99,85 @@ def vector_table(docs: DataFrame, terms: list[str]) -> DataFrame:
     return cut(docs.select("id", "text").mapInArrow(run, f"id {kind}, idx array<int>, n array<int>"), "toxicity")
 
 
+@dataclass
+class Rows:
+    """Sparse rows: where each starts, and places in order and values of all entries."""
+
+    starts: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    width: int
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        r, at = np.nonzero(dense)
+        return cls(np.searchsorted(r, np.arange(len(dense) + 1)), at, dense[r, at], dense.shape[1])
+
+    def size(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def row(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self)), self.size())
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = self.size()[rows]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        i = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[rows], size)
+        return Rows(ends, self.at[i], self.values[i], self.width)
+
+    def largest(self) -> np.ndarray:
+        """The place of the largest value of each row, of equal ones the first; 0 of empty rows."""
+        order = np.lexsort((self.at, -self.values, self.row()))
+        some = self.size() > 0
+        out = np.zeros(len(self), np.int64)
+        out[some] = self.at[order[self.starts[:-1][some]]]
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self), self.width))
+        out[self.row(), self.at] = self.values
+        return out
+
+
 @dataclass
 class Index:
     """Postings by term, in order of example; for each term and block where its postings start and their largest weight."""
 
     idf: np.ndarray
-    dense: np.ndarray
+    rows: Rows | np.ndarray
     labels: np.ndarray
     ids: np.ndarray
 
     def __post_init__(self):
-        order = np.lexsort((self.ids, self.dense.argmax(1) if self.dense.size else self.ids))
-        self.dense, self.labels, self.ids = self.dense[order], self.labels[order], self.ids[order]
-        terms, n = self.dense.shape[1], len(self.dense)
-        self.blocks = -(-n // BLOCK)
-        self.docs, self.weights, self.starts = [], [], np.zeros((terms, self.blocks + 1), np.int64)
-        self.largest, at = np.zeros((terms, self.blocks)), 0
-        for t in range(terms):
-            d = np.flatnonzero(self.dense[:, t])
-            self.docs.append(d)
-            self.weights.append(self.dense[d, t])
-            self.starts[t] = at + np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK)
-            np.maximum.at(self.largest[t], d // BLOCK, self.dense[d, t])
-            at += len(d)
-        self.docs = np.concatenate(self.docs) if terms else np.zeros(0, np.int64)
-        self.weights = np.concatenate(self.weights) if terms else np.zeros(0)
+        if isinstance(self.rows, np.ndarray):
+            self.rows = Rows.of(self.rows)
+        order = np.lexsort((self.ids, self.rows.largest()))
+        self.rows, self.labels, self.ids = self.rows.take(order), self.labels[order], self.ids[order]
+        terms = self.rows.width
+        self.blocks = -(-len(self.rows) // BLOCK)
+        d = self.rows.row()
+        by = np.lexsort((d, self.rows.at))
+        self.docs, self.weights, t = d[by], self.rows.values[by], self.rows.at[by]
+        key = t * self.blocks + self.docs // BLOCK
+        self.starts = np.searchsorted(key, np.arange(terms)[:, None] * self.blocks + np.arange(self.blocks + 1))
+        self.largest = np.zeros((terms, self.blocks))
+        np.maximum.at(self.largest, (t, self.docs // BLOCK), self.weights)
         self.slope, self.offset, self.none = 1.0, 0.0, 0.0
         self.calibrated = False
 
+    @property
+    def dense(self) -> np.ndarray:
+        return self.rows.dense()
+
+    @property
+    def batch(self) -> int:
+        """Queries at once, so that their dense rows stay small however many terms there are."""
+        return max(1, min(_BATCH, _CELLS // max(1, self.rows.width)))
+
     def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and examples of the k nearest of each unit query; ties go to the earlier example. leave: one not to take."""
         n, k = len(queries), min(k, max(1, len(self.labels)))
@@ -169,12 +219,13 @@ class Index:
 
     def calibrate(self) -> None:
         """A logistic curve of the votes that the examples get from the others, and the share of 1 among empty vectors."""
-        some = self.dense.any(1) if self.dense.size else np.zeros(len(self.labels), bool)
+        some = self.rows.size() > 0
         y = self.labels[some]
         self.none = float((self.labels[~some].sum() + 0.5) / ((~some).sum() + 5))
         if len(y) and 0 < y.sum() < len(y):
             at = np.flatnonzero(some)
-            v = np.concatenate([self.votes(*self.nearest(self.dense[at[i : i + _BATCH]], leave=at[i : i + _BATCH])) for i in range(0, len(at), _BATCH)])
+            parts = (at[i : i + self.batch] for i in range(0, len(at), self.batch))
+            v = np.concatenate([self.votes(*self.nearest(self.rows.take(p).dense(), leave=p)) for p in parts])
             x, b = np.stack([v, np.ones_like(v)], 1), np.zeros(2)
             for _ in range(50):
                 p = 1 / (1 + np.exp(-x @ b))
@@ -188,13 +239,13 @@ class Index:
         return np.where((who >= 0).any(1), p, min(self.none, 0.49) if len(self.labels) else 0.0)
 
 
-def _weigh(idx, n, idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(idx), len(idf)))
-    for i, (a, c) in enumerate(zip(idx, n, strict=True)):
-        if len(a):
-            out[i, a] = 1 + np.log(c)
-    out *= idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def _weigh(idx, n, idf: np.ndarray) -> Rows:
+    """Unit rows of term numbers and their counts."""
+    starts = np.concatenate([[0], np.cumsum([len(a) for a in idx])]).astype(np.int64)
+    at = np.array([t for a in idx for t in a], np.int64)
+    out = Rows(starts, at, (1 + np.log(np.array([c for x in n for c in x], np.float64))) * idf[at], len(idf))
+    out.values /= np.maximum(np.sqrt(np.bincount(out.row(), out.values**2, len(out))), 1e-12)[out.row()]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, rows: int = SAMPLE) -> tuple[DataFrame, Index]:
@@ -203,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, rows: int = SAMPLE) ->
     terms = vocabulary(docs, sample, rows)
     table = vector_table(docs, terms)
     df = np.zeros(len(terms))
-    for r in table.select(F.explode("idx").alias("t")).groupBy("t").count().collect():  # TERMS rows at most
+    for r in table.select(F.explode("idx").alias("t")).groupBy("t").count().collect():  # a row for each term at most
         df[r[0]] = r[1]
     idf = np.log((1 + table.count()) / (1 + df)) + 1
     found = joined(table, sample, rows).orderBy("id").collect()
@@ -222,14 +273,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table, index = fit(rows, labels, id_col)
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # SAMPLE x TERMS weights at most
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # the entries of SAMPLE sparse rows, and terms x blocks of bounds
     kind = table.schema["id"].dataType.simpleString()
 
     def run(batches):
         ix = sent.value
         for batch in batches:
-            for part in (batch.slice(i, _BATCH) for i in range(0, batch.num_rows, _BATCH)):
-                near = ix.nearest(_weigh(part.column(1).to_pylist(), part.column(2).to_pylist(), ix.idf))
+            for part in (batch.slice(i, ix.batch) for i in range(0, batch.num_rows, ix.batch)):
+                near = ix.nearest(_weigh(part.column(1).to_pylist(), part.column(2).to_pylist(), ix.idf).dense())
                 ids, ys = ix.ids.tolist(), ix.labels.astype(int).tolist()
                 ev = [[{"id": ids[w], "label": ys[w], "cosine": c} for c, w in zip(cs, ws, strict=True) if w >= 0] for cs, ws in zip(near[0].tolist(), near[1].tolist(), strict=True)]
                 ev = pa.array(ev, pa.list_(pa.struct([("id", part.schema.field(0).type), ("label", pa.int32()), ("cosine", pa.float64())])))

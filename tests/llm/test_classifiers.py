@@ -54,6 +54,21 @@ def test_block_max_search_is_exact():
     assert np.allclose(np.take_along_axis(cos, who, 1)[who >= 0], best[who >= 0], atol=1e-12)
 
 
+def test_every_supported_term_counts(spark):
+    """400 words that mark label 1, each in few documents: a held-out text with any of them has evidence."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    taught = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 != 0]
+    bad, good = taught[:400], taught[400:1200]
+    rows = [(d, " ".join(name((37 * n + j) % 400) for j in range(6)), 1) for n, d in enumerate(bad)]
+    rows += [(d, " ".join(name(5000 + (7 * n + j) % 900) for j in range(6)), 0) for n, d in enumerate(good)]
+    asked = [(10_000 + i, f"{name(i)} {name(i)}", 1) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows + asked], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert all(got[d].evidence and got[d].predicted == 1 for d, _, _ in asked)
+    assert not any(got[d].predicted for d in good)
+
+
 def words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
