@@ -1,8 +1,9 @@
-"""Near-duplicates by ProbMinHash over weighted five-word shingles, banding, and exact verification.
+"""Near-duplicates by ProbMinHash over five-word shingles of equal weight, banding, and exact verification.
 
-Each shingle, weighted by 1 + ln(its count in the document), throws points of a Poisson process of that rate at the
-registers of a signature; a register keeps the shingle of its earliest point. A shingle stops once its next point comes
-later than every register's, so most shingles throw few. Registers agree with the probability Jaccard of two documents.
+Each shingle throws points of a Poisson process at the registers of a signature; a register keeps the shingle of its
+earliest point. A shingle stops once its next point comes later than every register's, so most shingles throw few. The
+weight of a shingle, its rate, is 1 however often it repeats, since links are defined by sets: registers then agree with
+the set similarity itself, and two documents of similarity 0.8 share no band with probability (1 - 0.8^5)^32 = 3e-6.
 Documents that share a band are candidates, and candidates with a Jaccard similarity of shingle sets of at least 0.8
 are linked. Documents of the same words are one node from the start.
 """
@@ -56,12 +57,11 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return *np.unique(h, return_counts=True), digest
 
 
-def signatures(sets: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
     """The shingle in each register (documents x REGISTERS) of non-empty documents."""
     docs, m = len(sets), REGISTERS
-    x, c = np.concatenate(sets), np.concatenate(counts)
+    x, wait = np.concatenate(sets), 1 / np.concatenate(weights)
     doc = np.repeat(np.arange(docs), [len(s) for s in sets])
-    rate = 1 / (1 + np.log(c))
     first, kept = np.full(docs * m, np.inf), np.zeros(docs * m, np.uint64)
     latest = np.full(docs, np.inf)
     alone = np.array([len(s) == 1 for s in sets])
@@ -72,7 +72,7 @@ def signatures(sets: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
         step += 1
         r = mix(x[go] + np.uint64((step * 0x9E3779B97F4A7C15) & (2**64 - 1)))
         # 40 bits give the waiting time, the others the register.
-        time[go] -= np.log(((r >> np.uint64(24)) + np.uint64(1)).astype(np.float64) / float(1 << 40)) * rate[go]
+        time[go] -= np.log(((r >> np.uint64(24)) + np.uint64(1)).astype(np.float64) / float(1 << 40)) * wait[go]
         at = doc[go] * m + ((r & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
         now = np.flatnonzero(time[go] < first[at])
         # Later points are written first, so that the earliest stays.
@@ -102,7 +102,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in (batch.slice(i, _BATCH) for i in range(0, batch.num_rows, _BATCH)):
                 found = [shingles(t) for t in part.column(1).to_pylist()]
                 some = [i for i, f in enumerate(found) if len(f[0])]
-                keys = bands(signatures([found[i][0] for i in some], [found[i][1] for i in some])) if some else np.zeros((0, BANDS), np.int64)
+                keys = bands(signatures([found[i][0] for i in some], [np.ones(len(found[i][0])) for i in some])) if some else np.zeros((0, BANDS), np.int64)
                 sizes = np.zeros(part.num_rows + 1, np.int32)
                 sizes[[i + 1 for i in some]] = BANDS
                 yield pa.RecordBatch.from_arrays(

@@ -75,6 +75,18 @@ def test_all_pairs_agree(spark):
     assert sorted(ids) == sorted({c for d, c in classes([r for r in rows if r[0] is not None])})
 
 
+def test_a_repeated_passage_of_one_copy_hides_no_pair(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(12):
+        name = lambda n: [f"d{i}w{rng.randrange(10**6)}" for _ in range(n)]  # noqa: B023, E731
+        base, passage = name(100), name(15)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + passage * 200))]
+    want = classes(rows)
+    assert all(c == d - d % 2 for d, c in want)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert got(df) == [] and near_dedup.keep_one(df).count() == 0
