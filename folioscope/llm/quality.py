@@ -1,6 +1,6 @@
 """Quality by nearest labelled neighbours in a latent-semantic space of word shapes.
 
-A document is a bag of the shapes of its white-space-parted tokens (upper, lower, digits, signs as they are, runs
+A document is a bag of the shapes of its white-space-parted tokens, in pieces where they are long (upper, lower, digits, signs as they are, runs
 collapsed), of repeated tokens and of its share of different tokens. Bags are TF-IDF weighted with counts over all
 documents, projected by the leading singular vectors of a bounded labelled sample, and compared with every vector of
 that sample by exact cosine in blocks.
@@ -23,7 +23,8 @@ from .labelled import joined, remainder, sampled
 #: Hashed features, latent dimensions, labelled rows at most, neighbours, and the power of the cosine that weighs a vote.
 FEATURES, LATENT, SAMPLE, NEIGHBOURS, POWER = 512, 32, 4096, 31, 8
 THRESHOLD, MOD, HELD_OUT = 0.7, 4, 2
-_BLOCK = 512
+#: Rows scored at once, and characters of a token at most.
+_BLOCK, PIECE = 512, 64
 
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 _CLASS = {**{chr(c): "U" for c in range(65, 91)}, **{chr(c): "l" for c in range(97, 123)}, **{chr(c): "9" for c in range(48, 58)}}
@@ -34,16 +35,24 @@ def _slot(name: str) -> int:
 
 
 def _shape(token: str) -> int:
-    signs = [_CLASS.get(c) or ("U" if c.isupper() else "l" if c.isalpha() else "9" if c.isdigit() else c) for c in token[:64]]
+    signs = [_CLASS.get(c) or ("U" if c.isupper() else "l" if c.isalpha() else "9" if c.isdigit() else c) for c in token]
     return _slot("shape " + _RUN.sub(r"\1", "".join(signs)))
 
 
 _shapes = Memo(_shape)
 
 
+def pieces(text: str) -> list[str]:
+    """Tokens parted by white space, long ones cut into consecutive pieces, so that every character counts."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) > PIECE:
+        return [t[i : i + PIECE] for t in tokens for i in range(0, len(t), PIECE)]
+    return tokens
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature numbers and their counts; every text has a length feature, the empty one too."""
-    tokens = text.split()
+    tokens = pieces(text)
     n = len(tokens)
     counts = np.bincount(np.fromiter(map(_shapes.__getitem__, tokens), np.int64, n), minlength=FEATURES)
     counts[_slot("repeated")] += sum(map(str.__eq__, tokens, tokens[1:]))

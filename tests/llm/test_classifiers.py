@@ -185,6 +185,15 @@ def test_field_and_spans(spark):
     assert pii.masked("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a<IP>f"
 
 
+def test_shapes_of_long_tokens_count_to_their_end():
+    same = lambda a, b: all(np.array_equal(x, y) for x, y in zip(quality.features(a), quality.features(b), strict=True))
+    start = "漢字" * 32
+    assert not same(start + "漢字" * 500, start + "{};=" * 250)
+    parts = [start, "x1" * 32, "=/;" * 21 + "A", "end"]
+    assert same("".join(parts), " ".join(parts))
+    assert quality.pieces("a bc\n" + "d" * 64) == ["a", "bc", "d" * 64]
+
+
 def test_memo_forgets():
     m = Memo(lambda k: k + 1, limit=3)
     assert [m[i] for i in (1, 2, 3, 4, 1)] == [2, 3, 4, 5, 2] and len(m) == 2
