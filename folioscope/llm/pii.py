@@ -160,7 +160,7 @@ _CUES = frozenset("tel telefon phone fax call teléfono numéro número token ke
 
 def shape_features(token: str) -> tuple[str, ...]:
     """Exact shape (to eight characters), collapsed shape, size, share of digits, and cue words."""
-    t = token[:128].strip("\"',;!?<>[]{}").rstrip(".:")
+    t = token.strip("\"',;!?<>[]{}").rstrip(".:")
     s = "".join(_CLASS.get(c) or ("l" if c.isalpha() else c if c.isascii() else "?") for c in t)
     digits = s.count("9")
     low = t.lower()
@@ -309,16 +309,14 @@ _TOKEN = re.compile(r"\S+")
 
 def _spans(line: str, labels: list[int], offset: int) -> list[Span]:
     out: list[list] = []
-    for m, y in zip(_TOKEN.finditer(line), labels, strict=True):
+    for i, (m, y) in enumerate(zip(_TOKEN.finditer(line), labels, strict=True)):
         if not y:
             continue
         kind = LABELS[y][2:]
-        if LABELS[y][0] == "I" and out and out[-1][0] == kind and out[-1][3] == m.start():
-            out[-1][2] = m.end()
+        if LABELS[y][0] == "I" and out and out[-1][0] == kind and out[-1][3] == i - 1:
+            out[-1][2:] = m.end(), i
         else:
-            out.append([kind, m.start(), m.end(), 0])
-        rest = line[m.end() :]
-        out[-1][3] = m.end() + len(rest) - len(rest.lstrip()) if len(rest) < 4096 else m.end() + 1
+            out.append([kind, m.start(), m.end(), i])
     found = []
     for kind, a, b, _ in out:
         if kind == "secret" and "=" in line[a:b]:

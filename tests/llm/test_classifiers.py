@@ -194,6 +194,17 @@ def test_shapes_of_long_tokens_count_to_their_end():
     assert quality.pieces("a bc\n" + "d" * 64) == ["a", "bc", "d" * 64]
 
 
+def test_spans_are_the_same_in_long_lines():
+    decoder = pii.Decoder(pii.train(pii.labelled_table()))
+    for lead in ("phone: 0123", "Call me at 415  555", "Tel. (415) "):
+        text = f"{lead}   456789 after lunch."
+        short = decoder.spans([text])[0]
+        assert decoder.spans([text + " of the" * 2000])[0] == short
+    assert pii._spans("0123  456789" + " x" * 4000, [1, 2] + [0] * 4000, 5) == [("phone", 5, 17)]
+    assert pii._spans("0123 x 456789", [1, 0, 2], 0) == []
+    assert pii.shape_features("a" * 128 + "1" * 400) != pii.shape_features("a" * 128)
+
+
 def test_memo_forgets():
     m = Memo(lambda k: k + 1, limit=3)
     assert [m[i] for i in (1, 2, 3, 4, 1)] == [2, 3, 4, 5, 2] and len(m) == 2
