@@ -2,8 +2,10 @@
 
 Equal vectors are one node. A first graph joins nodes that random hyperplanes put side by side; then, round after round,
 the neighbours and reverse neighbours of each node meet in one row group and propose each other, since a neighbour of a
-neighbour is likely a neighbour. Queries walk the graph in rounds of joins: each keeps its nearest nodes so far and
-opens the nearest that it has not opened. Walks use half-precision vectors, results exact inner products in double.
+neighbour is likely a neighbour. The graph compares directions (cosine), so no norm changes how others are linked.
+Queries walk the graph in rounds of joins: each keeps its nearest nodes by inner product so far and opens the nearest
+that it has not opened; nodes of rare large norms are entries of every walk. Walks use half-precision directions and
+single-precision norms, results exact inner products in double.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import cut
 NEIGHBOURS, ROUNDS, SETTLED, TABLES, BLOCK = 20, 6, 0.08, 4, 384
 #: Proposals that a member takes from one meeting; nodes that a query holds, opens per hop, and hops at most.
 PROPOSALS, BEAM, OPEN, HOPS = 8, 80, 24, 8
+#: Nodes at most that every walk starts at besides its own, those of the largest norms from this multiple of the median.
+ENTRIES, RARE = 32, 2.0
 _LISTS = "ids array<long>, sims array<float>"
 _SPAN = 65_536
 
@@ -36,10 +40,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def _matrix(column: pa.Array, kind=np.float16) -> np.ndarray:
-    """Equal-sized binaries as rows."""
-    n = len(column)
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1).astype(np.float32) if n else np.zeros((0, 1), np.float32)
+def _parts(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and norms of n halves."""
+    raw = np.frombuffer(data, np.float16).reshape(n, -1)
+    return raw[:, :-2].astype(np.float32), np.ascontiguousarray(raw[:, -2:]).view(np.float32)[:, 0]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Directions of halves as rows."""
+    return _parts(b"".join(column.to_pylist()), len(column))[0] if len(column) else np.zeros((0, 1), np.float32)
 
 
 def _groups(batches, least: int = 4096):
@@ -72,14 +81,16 @@ def _first(order_keys: list[np.ndarray], group: np.ndarray, most: int) -> np.nda
 
 
 def _half(vectors: DataFrame, norm: float) -> DataFrame:
-    """Vectors scaled to norms of at most 1, with one more component that makes them unit: node, half binary."""
+    """node, half binary: the direction in half precision, then the norm as a share of the largest in single precision."""
 
     def run(batches):
         for batch in batches:
             flat, _ = _flat(batch.column(1))
-            x = flat.astype(np.float64).reshape(batch.num_rows, -1) / norm
-            x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "half"])
+            x = flat.astype(np.float64).reshape(batch.num_rows, -1)
+            x, most = x / np.abs(x).max(1, keepdims=True), np.abs(x).max(1)
+            size = np.linalg.norm(x, axis=1)
+            half, share = (x / size[:, None]).astype(np.float16), (size * (most / norm)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() + s.tobytes() for r, s in zip(half, share, strict=True)], pa.binary())], names=["node", "half"])
 
     return vectors.select("node", "vector").mapInArrow(run, "node long, half binary")
 
@@ -88,7 +99,7 @@ def _start(half: DataFrame, dims: int, bits: int, k: int) -> DataFrame:
     """Neighbour lists from blocks of rows that stand side by side in the order of their hyperplane signs."""
 
     def keyed(batches):
-        planes = np.random.default_rng(11).standard_normal((TABLES, dims + 1, bits))
+        planes = np.random.default_rng(11).standard_normal((TABLES, dims, bits))
         for batch in batches:
             x = _matrix(batch.column(1))
             for t in range(TABLES):
@@ -229,9 +240,8 @@ def _walked(opened: DataFrame) -> DataFrame:
             ids, size = _flat(b.column(2))
             sims = []
             for h, block in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                v = np.frombuffer(h, np.float16).astype(np.float32)
-                v[-1] = 0.0  # the component that was put on does not count for inner products
-                sims.append(np.frombuffer(block, np.float16).astype(np.float32).reshape(-1, len(v)) @ v)
+                x, norms = _parts(block, len(block) // len(h))
+                sims.append(x @ _parts(h, 1)[0][0] * norms)
             yield pa.RecordBatch.from_arrays([b.column(0), _list(ids, size, pa.int64()), _list(np.concatenate(sims) if sims else np.zeros(0), size, pa.float32())], names=["q", "ids", "sims"])
 
     return opened.select("q", "half", "ids", "halves").mapInArrow(run, f"q long, {_LISTS}")
@@ -263,14 +273,30 @@ def _beams(held: DataFrame | None, found: DataFrame, beam: int) -> DataFrame:
     return rows.mapInArrow(run, f"q long, half binary, {_LISTS}, open array<int>")
 
 
-def search(graph: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """q, cand: the nodes that each query node (column q) holds at the end of its walk, which starts at itself."""
+def _started(asked: DataFrame, entries: list[tuple[int, bytes]]) -> DataFrame:
+    """First beams of the query nodes (node, half): themselves, and the entries with their sims."""
+    nodes, halves = np.array([n for n, _ in entries], np.int64), b"".join(h for _, h in entries)
+
+    def run(batches):
+        for b in batches:
+            q = b.column(0).to_numpy()
+            x = _matrix(b.column(1))
+            ids, sims = q[:, None], np.full((len(q), 1), -9.0, np.float32)
+            if len(nodes) and len(q):
+                y, norms = _parts(halves, len(nodes))
+                ids, sims = np.concatenate([ids, np.tile(nodes, (len(q), 1))], 1), np.concatenate([sims, x @ y.T * norms], 1)
+            size = np.full(len(q), ids.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list(ids.ravel(), size, pa.int64()), _list(sims.ravel(), size, pa.float32()), _list(np.ones(ids.size), size, pa.int32())], names=["q", "half", "ids", "sims", "open"])
+
+    return asked.select("node", "half").mapInArrow(run, f"q long, half binary, {_LISTS}, open array<int>")
+
+
+def search(graph: DataFrame, queries: DataFrame, entries: list[int] = (), k: int = NEIGHBOURS, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+    """q, cand: the nodes that each query node (column q) holds at the end of its walk from itself and the entries."""
     index = _opened(graph, k)
     table = graph.sparkSession.table(index)
-    state = graph.join(queries.select(F.col("q").alias("node")).distinct(), "node").select(
-        F.col("node").alias("q"), "half", F.array("node").alias("ids"), F.array(F.lit(-9.0).cast("float")).alias("sims"), F.array(F.lit(1)).alias("open")
-    )
-    state = cut(state, "ann-beams")
+    first = [(r[0], bytes(r[1])) for r in graph.filter(F.col("node").isin(list(entries))).select("node", "half").collect()] if entries else []
+    state = cut(_started(graph.join(queries.select(F.col("q").alias("node")).distinct(), "node"), first), "ann-beams")
     for _ in range(hops):
         front = state.select("q", "half", F.explode(F.arrays_zip("ids", "open")).alias("e")).filter("e.open = 1").select("q", "half", F.col("e.ids").alias("node"))
         state = cut(_beams(state, _walked(front.join(table, "node")), beam), "ann-beams")
@@ -308,14 +334,16 @@ def nearest(rows: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_
     held = cut(held.select("id", "vector", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), F.aggregate(v, F.lit(0.0), lambda n, x: n + x * x).alias("sq")), "ann-rows")
     dims = held.agg(F.max(F.size("vector"))).first()[0] or 0
     held = held.filter(F.size("vector") == dims)
-    norm = math.sqrt(held.agg(F.max("sq")).first()[0] or 1.0) or 1.0
+    most, middle = held.agg(F.max("sq"), F.percentile_approx("sq", 0.5)).first()
+    norm = math.sqrt(most or 1.0) or 1.0
     by = Window.partitionBy("h1", "h2").orderBy("id")
     ranked = held.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top + 1)
-    nodes = cut(ranked.filter("rank = 1").select(F.col("id").alias("node"), "h1", "h2", "vector"), "ann-nodes")
+    nodes = cut(ranked.filter("rank = 1").select(F.col("id").alias("node"), "h1", "h2", "vector", "sq"), "ann-nodes")
     members = ranked.select("id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "id")
     asked = cut(held.filter(F.pmod("id", F.lit(every)) == 0).select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", F.col("node").alias("q")), ["h1", "h2"]).select(F.col("id").alias("query_id"), "q"), "ann-asked")
     graph = build_graph(nodes, norm, dims, nodes.count())
-    found = search(graph, asked)
+    large = nodes.filter(F.col("sq") > RARE**2 * (middle or 0.0)).orderBy(F.desc("sq"), "node").limit(ENTRIES)
+    found = search(graph, asked, [r[0] for r in large.select("node").collect()])
     found = found.unionByName(asked.select("q", F.col("q").alias("cand")).distinct())
     of = lambda name, col: nodes.select(F.col("node").alias(name), F.col("vector").alias(col))
     scored = cut(_exact(found.join(of("cand", "y"), "cand").join(of("q", "x"), "q")), "ann-scored")

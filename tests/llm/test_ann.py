@@ -41,6 +41,19 @@ def test_recall_and_scores(spark):
         assert rows == sorted(rows, key=lambda r: (-r[1], r[0])) and len(rows) == 20 and q not in {j for j, _ in rows}
 
 
+@pytest.mark.parametrize("few,scale", [(1, 1e6), (40, 1e4)])
+def test_outlier_norms(spark, few, scale):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1600, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(1600)[:few]] *= scale
+    ids = np.arange(1600)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got, want = result(df, every=20, top=20), brute(ids.tolist(), x, 20, 20)
+    hits = [len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
 def test_few_rows_and_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (9, [1.0]), (20, [0.0, 2.0]), (40, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
