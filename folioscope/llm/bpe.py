@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, in_arrow
 
 #: White space of str.split() that \s of the normalizer does not hold.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -47,10 +47,10 @@ class Encoder:
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(pre)
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece)
-        self.spaced = Memo(self._spaced)
-        self.decoded = Memo(self._decoded)
-        self.packed = Memo(lambda ids: np.array(ids.split(" "), np.int32).tobytes())
+        self.pieces = Memo(self._piece, lasting=True)
+        self.spaced = Memo(self._spaced, lasting=True)
+        self.decoded = Memo(self._decoded, lasting=True)
+        self.packed = Memo(lambda ids: np.array(ids.split(" "), np.int32).tobytes(), lasting=True)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of lowest rank, leftmost first, until no pair has a rank."""
@@ -132,7 +132,7 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         enc = encoder(vocabulary(vocab))
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+        for batch in batches:
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():
                 found = enc.chunks(text)
@@ -143,7 +143,7 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), held, pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, f"id {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digest_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "word_bpe_49k.json") -> DataFrame:
@@ -163,4 +163,4 @@ def digest_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
