@@ -22,7 +22,8 @@ def sampled(labels: DataFrame, label: str, mod: int, held_out: int, rows: int, i
     )
 
 
-def joined(table: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
-    """Rows of table (column id) that the sample labels, at most `rows` even where ids repeat."""
+def joined(table: DataFrame, sample: DataFrame, *columns: str) -> DataFrame:
+    """id, label and the columns of one row of table for each id that the sample labels: the smallest, where ids repeat."""
     # The sample has at most `rows` ids, so it is small enough to send to every task at any size of the corpus.
-    return table.join(F.broadcast(sample), "id").limit(rows)
+    held = table.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct(*columns)).alias("r"))
+    return held.select("id", "label", *(f"r.{c}" for c in columns))

@@ -2,12 +2,12 @@
 
 The field labels white-space-parted tokens of each line from word shapes of a token and its neighbours. It is trained on
 a small labelled table, made from the templates below, and decoded by Viterbi over many lines at once. It adds spans
-that the patterns do not have: telephone numbers in national form, and secrets.
+that the patterns do not have: telephone numbers in national form, secrets, identity numbers and bank accounts.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import random
 import re
 from dataclasses import dataclass
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, Numbers, in_arrow
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "id", "iban")
 BASE = 4
 Span = tuple[str, int, int]
 
@@ -79,14 +79,25 @@ TEMPLATES = (
     "Mi teléfono es [phone] gracias.",
     "Mon numéro est le [phone] merci",
     "You can reach the office under [phone], every day.",
-    "the of and [phone] is on the list",
+    "She wrote [phone] on the back of the card",
     "fax [phone]",
+    "[phone] is the number of the front desk.",
+    "SUPPORT LINE >>> [phone] <<<",
     'token = "[secret]"',
     'api_key = "[secret]" in the settings',
     "password: [secret]",
     "the key is [secret] and keep it",
-    'with that token = "[secret]" the and',
+    "Please set access_token = '[secret]' before the run",
     "secret=[secret]",
+    "export API_TOKEN=[secret]",
+    "Authorization: Bearer [secret]",
+    "My social security number is [id] as of now.",
+    "SSN: [id]",
+    "taxpayer [id] filed late",
+    "IBAN [iban] at the bank",
+    "Transfer it to [iban] please.",
+    "account: [iban]",
+    "Konto [iban] bei der Sparkasse",
     "The meeting is on [date] at noon.",
     "Licensed under the Apache License, Version 2.0.",
     "under the GNU General Public License, version 3.",
@@ -94,33 +105,43 @@ TEMPLATES = (
     "Order [number] was sent on [date].",
     "In [year] there were [number] of them.",
     "Chapter [small] of [small], page [small]",
-    "the of and to in that it is was for",
-    "Le la de et les des que une",
-    "Der die und das ist nicht ein",
-    "El la de que y en los",
-    "THE!! OF!! AND!!",
-    "one### of%%% the&&& in***",
-    "menu | home | about | contact",
-    "Version [small].[small] released on [date], see [number].",
+    "A quiet morning by the sea, with nothing to do.",
+    "Nous avons mangé au restaurant hier soir",
+    "Wir gehen heute nicht ins Kino, sondern bleiben zu Hause.",
+    "Ayer fuimos al mercado con los niños",
+    "WOW!!! BEST DEAL EVER!!! CLICK NOW!!!",
+    "--- *** --- ### --- %%% --- &&& ---",
+    "home | about | contact | imprint | log in",
+    "a | b | c |",
+    "Release [small].[small] came out on [date], see [number].",
     "call 911 or [small] in the end",
     "the ratio was [small] - [small] at half time",
     "ISBN [number] and id [number]",
+    "order id: [number], phone model [small]",
+    "The key of the house and the token of love",
     "mail to [email] today",
     "host [ip] is up",
     "card [card] expires",
     "call [intl] now",
+    "commit message: fixed the build (see above)",
+    "Internationalization and counterrevolutionaries are long words",
 )
-LABELS = ("O", "B-phone", "I-phone", "B-secret", "I-secret")
-ROWS_PER_TEMPLATE, TRAIN_STEPS, SLOTS = 12, 150, 2048
+LABELS = ("O", "B-phone", "I-phone", "B-secret", "I-secret", "B-id", "I-id", "B-iban", "I-iban")
+ROWS_PER_TEMPLATE, TRAIN_STEPS = 12, 150
 
 
 def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """Rows of tokens and their labels: the templates filled with values drawn from the seed."""
     rng = random.Random(seed)
-    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    d = lambda n: some("0123456789", n)
+    big, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    iban = lambda: some(big, 2) + d(2) + rng.choice([d(18), some(big, 4) + d(14), d(20)])
     value = {
         "phone": lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(6)}", f"{d(3)} {d(3)} {d(4)}"]),
-        "secret": lambda: rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64]))), "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(20, 44)))]),
+        "secret": lambda: rng.choice([some("0123456789abcdef", rng.choice([32, 40, 64])), some(low + big + "0123456789", rng.randrange(20, 44))]),
+        "id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "iban": lambda: (lambda x: rng.choice([x, " ".join(x[i : i + 4] for i in range(0, len(x), 4))]))(iban()),
         "date": lambda: rng.choice([f"20{d(2)}-0{rng.randrange(1, 9)}-1{d(1)}", f"1{d(1)}.0{rng.randrange(1, 9)}.20{d(2)}", f"1{d(1)}/0{rng.randrange(1, 9)}/{d(2)}"]),
         "price": lambda: f"${d(2)}.{d(2)}",
         "year": lambda: f"19{d(2)}",
@@ -134,74 +155,85 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
     out = []
     for template in TEMPLATES:
         for _ in range(ROWS_PER_TEMPLATE):
-            tokens, labels, open_ = [], [], 0
+            tokens, labels, inside = [], [], False
             for part in re.split(r"(\[\w+\])", template):
                 kind = part[1:-1] if part.startswith("[") else ""
-                text = value[kind]() if kind else part
                 code = LABELS.index(f"B-{kind}") if f"B-{kind}" in LABELS else 0
-                for i, t in enumerate(re.split(r"\s+", text)):
-                    if i == 0 and tokens and not open_:  # goes on within a token
+                for i, t in enumerate(re.split(r"\s+", value[kind]() if kind else part)):
+                    if i == 0 and inside:  # goes on within a token
                         tokens[-1] += t
                         labels[-1] = labels[-1] or (code if t else 0)
                     else:
                         tokens.append(t)
                         labels.append(code and code + (i > 0))
-                    open_ = False
-                open_ = False
+                inside = True
             held = [(t, y) for t, y in zip(tokens, labels, strict=True) if t]
             out.append(([t for t, _ in held], [y for _, y in held]))
     return out
 
 
-_CLASS = {**dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("0123456789", "9")}
+
+
+class _Signs(dict):
+    """What stands for a character in a shape: U, l or 9, other letters l, ASCII signs themselves, the rest ?."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = sign = "l" if c.isalpha() else c if c.isascii() else "?"
+        return sign
+
+
+_SIGNS = _Signs({**dict.fromkeys(range(65, 91), "U"), **dict.fromkeys(range(97, 123), "l"), **dict.fromkeys(range(48, 58), "9")})
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
-_CUES = frozenset("tel telefon phone fax call teléfono numéro número token key api_key apikey secret password passwort clave = + version order isbn id".split())
+_EDGE = re.compile(r"^[\W_]*|[\W_]*$")
+_CUES = frozenset("tel telefon phone fax call teléfono numéro número token key api_key apikey secret password passwort clave bearer version order isbn id ssn iban account konto number security".split())
 
 
 def shape_features(token: str) -> tuple[str, ...]:
-    """Exact shape (to eight characters), collapsed shape, size, share of digits, and cue words."""
-    t = token.strip("\"',;!?<>[]{}").rstrip(".:")
-    s = "".join(_CLASS.get(c) or ("l" if c.isalpha() else c if c.isascii() else "?") for c in t)
+    """Collapsed shape, exact shape where there are digits, size, share of digits, what opens the token, and cue words."""
+    t = _EDGE.sub("", token)
+    s = t.translate(_SIGNS)
     digits = s.count("9")
-    low = t.lower()
     mixed = digits > 1 and (s.count("l") + s.count("U")) > 1
-    out = [f"s {_RUN.sub(chr(92) + '1', s)[:16]}", f"n {min(len(s), 64).bit_length()} {4 * digits // max(1, len(s))}", f"m {mixed and len(s) >= 20 and s.isalnum()}"]
-    if digits and len(s) <= 14:
+    out = [f"s {_RUN.sub(chr(92) + '1', s)}", f"n {len(s).bit_length()} {4 * digits // max(1, len(s))}", f"m {mixed and len(s) >= 20 and s.isalnum()}"]
+    if digits:
         out.append(f"x {s}")
-    if low in _CUES:
+        if token[0] in "(+$":
+            out.append(f"o {token[0]}")
+    if (low := t.lower()) in _CUES:
         out.append(f"w {low}")
+    if token in ("=", ":"):
+        out.append(f"w {token}")
     return tuple(out)
 
 
-def _slot(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % SLOTS
-
-
-def token_slots(token: str) -> tuple[int, ...]:
-    return tuple(_slot(f) for f in shape_features(token))
-
-
 @dataclass
 class Field:
-    """Weights of a token's own features and of those before and after it (3 x SLOTS x labels), and of label steps."""
+    """Numbers of the features met in training; their weights for a token, the one after and the one before it (3 x features x labels); steps between labels."""
 
+    names: dict[str, int]
     weights: np.ndarray
     steps: np.ndarray
 
+    def slots(self, token: str) -> tuple[int, ...]:
+        """The known features of a token; those that training never met weigh nothing."""
+        return tuple(self.names[f] for f in shape_features(token) if f in self.names)
+
 
 def train(rows: list[tuple[list[str], list[int]]], iterations: int = TRAIN_STEPS, l2: float = 0.02) -> Field:
     """Maximum likelihood by gradient steps with momentum over all rows, by forward and backward sums."""
     k, n = len(LABELS), len(rows)
     size = np.array([len(t) for t, _ in rows])
     width = int(size.max())
-    slots = [[token_slots(t) for t in tokens] for tokens, _ in rows]
+    names = Numbers()
+    slots = [[[names[f] for f in shape_features(t)] for t in tokens] for tokens, _ in rows]
     at = [(o, i, t, s) for i, row in enumerate(slots) for t in range(len(row)) for o, u in ((0, t), (1, t - 1), (2, t + 1)) if 0 <= u < len(row) for s in row[u]]
     o, i, t, s = (np.array(x) for x in zip(*at, strict=True))
     gold = np.zeros((n, width), int)
     for r, (_, y) in enumerate(rows):
         gold[r, : len(y)] = y
     real = np.arange(width) < size[:, None]
-    w, a = np.zeros((3, SLOTS, k)), np.zeros((k, k))
+    w, a = np.zeros((3, len(names), k)), np.zeros((k, k))
     vw, va = np.zeros_like(w), np.zeros_like(a)
     one = np.eye(k)[gold] * real[:, :, None]
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
@@ -221,20 +253,31 @@ def train(rows: list[tuple[list[str], list[int]]], iterations: int = TRAIN_STEPS
         np.add.at(gw, (o, s), (one - p)[i, t])
         vw, va = 0.9 * vw + gw - l2 * w, 0.9 * va + ga - l2 * a
         w, a = w + 0.02 * vw * (0.3 + 0.7 * min(1, it / 20)), a + 0.02 * va
-    return Field(w, a)
+    return Field(dict(names), w, a)
+
+
+@functools.cache
+def trained() -> Field:
+    """The field that the table of the templates gives."""
+    return train(labelled_table())
 
 
 class Decoder:
-    """Viterbi over many lines at once; tokens of equal features share a row of emission weights."""
+    """Viterbi over many lines at once; tokens of equal features share a row of emission weights.
+
+    A stretch of labels other than O can only win if its gains over O, with the best steps there are, add up to more
+    than nothing. Tokens in no such stretch are O for certain, so only the others are decoded, with O around them.
+    """
 
     def __init__(self, field: Field):
         self.field = field
         self.types: dict[tuple[int, ...], int] = {}
         self.rows = np.zeros((3, 64, len(LABELS)))
         self.type_of = Memo(self._type)
+        self.step = 2 * max(0.0, float((field.steps - field.steps[0, 0]).max()))
 
     def _type(self, token: str) -> int:
-        slots = token_slots(token)
+        slots = self.field.slots(token)
         if (n := self.types.get(slots)) is None:
             n = self.types[slots] = len(self.types)
             if n == self.rows.shape[1]:
@@ -244,35 +287,51 @@ class Decoder:
 
     def labels(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The labels of all tokens in order, and where each line starts among them. No line is empty."""
-        size = np.array([len(x) for x in lines])
-        start = np.concatenate([[0], np.cumsum(size)])
-        total, k = int(start[-1]), len(LABELS)
+        start = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+        total = int(start[-1])
         of = np.fromiter((n for x in lines for n in map(self.type_of.__getitem__, x)), np.int64, total)
         e = self.rows[0, of]
-        first = np.zeros(total, bool)
-        first[start[:-1]] = True
+        first, last = np.zeros(total, bool), np.zeros(total, bool)
+        first[start[:-1]], last[start[1:] - 1] = True, True
         inner = np.flatnonzero(~first)
         e[inner] += self.rows[1, of[inner - 1]]
         e[inner - 1] += self.rows[2, of[inner]]
+        gain = e[:, 1:].max(1) - e[:, 0] + self.step
+        # The largest sum of gains of a stretch of the line that ends, or starts, at each token.
+        line = np.cumsum(first) - 1
+        left = _runs(gain, line)
+        right = _runs(gain[::-1], line[::-1])[::-1]
+        maybe = left + right - gain > -1e-6
+        out = np.zeros(total, np.int8)
+        head = np.flatnonzero(maybe & (first | ~np.concatenate([[False], maybe[:-1]])))
+        tail = np.flatnonzero(maybe & (last | ~np.concatenate([maybe[1:], [False]])))
+        if len(head):
+            self._decode(e, head, tail - head + 1, first, last, out)
+        return out, start
+
+    def _decode(self, e: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+        """The best labels of the stretches, with O before and after them within their line, written to out."""
         order = np.argsort(-size, kind="stable")
-        begin, size = start[:-1][order], size[order]
-        back = np.zeros((total, k), np.int8)
-        active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # lines longer than t
-        score, steps = e[begin].copy(), self.field.steps
+        begin, size = begin[order], size[order]
+        steps = self.field.steps
+        back = np.zeros((int(size.sum()), e.shape[1]), np.int8)
+        place = np.cumsum(size) - size
+        active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # stretches longer than t
+        score = e[begin] + np.where(first[begin], 0.0, 1.0)[:, None] * steps[0]
         for t in range(1, int(size[0])):
             m = active[t]
             via = score[:m, :, None] + steps
             best = via.argmax(1)
-            back[begin[:m] + t] = best
+            back[place[:m] + t] = best
             score[:m] = np.take_along_axis(via, best[:, None, :], 1)[:, 0] + e[begin[:m] + t]
-        out = np.zeros(total, np.int8)
-        now = score.argmax(1)
-        out[begin + size - 1] = now
+        end = begin + size - 1
+        now = (score + np.where(last[end], 0.0, 1.0)[:, None] * steps[:, 0]).argmax(1)
+        out[end] = now
         for t in range(int(size[0]) - 1, 0, -1):
             m = active[t]
-            now[:m] = back[begin[:m] + t, now[:m]]
+            # Stretches that are longer than t go back from their label at t to that at t - 1.
+            now[:m] = back[place[:m] + t, out[begin[:m] + t]]
             out[begin[:m] + t - 1] = now[:m]
-        return out, start
 
     def spans(self, texts: list[str], tokens_at_once: int = 200_000) -> list[list[Span]]:
         """Spans that the field finds in each text, line by line."""
@@ -304,7 +363,18 @@ class Decoder:
         return out
 
 
+def _runs(gain: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The largest sum of a run of gains that ends at each place, within its line (numbers that differ between lines)."""
+    new = np.concatenate([[True], line[1:] != line[:-1]])
+    far = 1.0 + 2 * np.abs(gain).sum()
+    # Between lines the sum falls by more than any run can gain, so no run that starts before is the best.
+    total = np.cumsum(gain - np.where(new, far, 0.0)) + 0.0
+    before = total - gain
+    return total - np.minimum.accumulate(before)
+
+
 _TOKEN = re.compile(r"\S+")
+_NAMED = re.compile(r".*[=:](?=.{16})")
 
 
 def _spans(line: str, labels: list[int], offset: int) -> list[Span]:
@@ -319,14 +389,15 @@ def _spans(line: str, labels: list[int], offset: int) -> list[Span]:
             out.append([kind, m.start(), m.end(), i])
     found = []
     for kind, a, b, _ in out:
-        if kind == "secret" and "=" in line[a:b]:
-            a += line[a:b].index("=") + 1
-        while a < b and line[a] in "\"',;:!?<>[]{}=":
+        if kind == "secret" and (m := _NAMED.search(line, a, b)):  # name=value as one token
+            a = m.end()
+        while a < b and not (line[a].isalnum() or (kind == "phone" and line[a] in "(+")):
             a += 1
-        while a < b and line[b - 1] in "\"',;:!?<>[]{}=.":
+        while a < b and not (line[b - 1].isalnum() or (kind == "secret" and line[b - 1] in "=/+")):
             b -= 1
         digits = sum(c in "0123456789" for c in line[a:b])
-        if b > a and (kind != "phone" or 7 <= digits <= 15) and (kind != "secret" or b - a >= 16):
+        least = {"phone": 7 <= digits <= 15, "secret": b - a >= 16, "id": digits == 9, "iban": b - a >= 15}
+        if least[kind]:
             found.append((kind, offset + a, offset + b))
     return found
 
@@ -372,7 +443,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows and null ids stay. No
     documents: no rows. Extra columns are ignored. Training takes the templates above only.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(labelled_table()))
+    sent = docs.sparkSession.sparkContext.broadcast(trained())
     kind = docs.schema[id_col].dataType.simpleString()
     one = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     rows_of = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
@@ -386,12 +457,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     s = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInArrow(run, f"id {kind}, base {s}, spans {s}").withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, f"id {kind}, base {s}, spans {s}").withColumnRenamed("id", id_col)
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are but the text, in which each span is replaced by its kind; nulls stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(labelled_table()))
+    sent = docs.sparkSession.sparkContext.broadcast(trained())
     place, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
@@ -403,4 +474,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = pa.array([None if t is None else masked(t, f[1]) for t, f in zip(texts, found, strict=True)], part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)

@@ -1,13 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, beginnings of words, and either of them met twice or three times; the vocabulary holds all that a
-bounded labelled sample ties to the label (enough positive documents, and three times as frequent there). Document
-counts come from all documents. Labelled examples are sparse rows and stand in blocks; a block whose bound, the sum of query weights times the block's largest weights, cannot reach
-the nearest found so far is skipped, so the neighbours are exactly those that a full comparison finds.
+Terms are all words, hashed, and markers: words, beginnings of words, and either of them met twice or three times, that
+a bounded labelled sample ties to the label (enough positive documents, and three times as frequent there). Markers weigh
+more, so that a few of them in a long text are not lost among its other words. Document counts come from all documents.
+Labelled examples are sparse rows and stand in blocks. The sum of query weights times a block's largest weights bounds
+the cosines of a block; blocks that cannot reach the nearest found in the most promising one are skipped, so the
+neighbours are exactly those that a full comparison finds.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -16,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, words_of
+from .common import Memo, cut, in_arrow, largest, lists, words_of
 from .labelled import joined, remainder, sampled
 
-#: Labelled rows at most, neighbours, power of the cosine that weighs a vote, least positive documents of a term.
+#: Labelled rows at most, neighbours, power of the cosine that weighs a vote, least positive documents of a marker.
 SAMPLE, NEIGHBOURS, POWER, SUPPORT = 4096, 15, 4, 5
+#: Slots of hashed words, and the weight of a word beside that of a marker.
+WORDS, PLAIN = 1 << 15, 0.1
 THRESHOLD, MOD, HELD_OUT, BLOCK = 0.5, 5, 0, 64
-#: Documents a batch, and numbers in the dense queries of one.
-_FLUSH, _BATCH, _CELLS = 256, 512, 1 << 20
+#: Labelled documents a batch of counts; rows and entries of the queries compared at once.
+_FLUSH, _ROWS, _ENTRIES = 256, 512, 1 << 15
+#: Terms in more than one of so many examples are compared as dense columns, the others by postings.
+_OFTEN = 32
 
 
 def _begins(word: bytes) -> tuple[str, ...]:
@@ -45,8 +52,8 @@ def terms_of(text: str, of=_begins) -> dict[str, int]:
     return out
 
 
-def vocabulary(docs: DataFrame, sample: DataFrame, rows: int) -> list[str]:
-    """All terms of the labelled sample that are more frequent with label 1, by name; the sample bounds them."""
+def vocabulary(chosen: DataFrame) -> list[str]:
+    """The markers, by name, that the labelled texts (columns text, label) give; the sample bounds them."""
 
     def run(batches):
         held, n = (Counter(), Counter()), 0
@@ -59,13 +66,13 @@ def vocabulary(docs: DataFrame, sample: DataFrame, rows: int) -> list[str]:
                     held = (Counter(), Counter())
         yield _counts(held)
 
-    chosen = joined(docs.select(F.col("id"), "text"), sample, rows).select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("y"))
-    totals = sample.agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)), F.count(F.lit(1))).first()
+    chosen = chosen.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("y"))
+    totals = chosen.agg(F.sum("y"), F.count(F.lit(1))).first()
     n1, n0 = totals[0] or 0, totals[1] - (totals[0] or 0)
     if not n1 or not n0:
         return []
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    found = chosen.mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = in_arrow(chosen, run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return sorted(r["term"] for r in found.filter((F.col("a") >= SUPPORT) & (a / n1 > 3 * b / n0)).collect())
 
 
@@ -74,29 +81,32 @@ def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], names=["term", "a", "b"])
 
 
-def vector_table(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """id, idx array<int>, n array<int> of every row over the vocabulary, written to the shared folder."""
-    known = {t: i for i, t in enumerate(terms)}
-    roots = {t.split("#")[0] for t in terms}
+def vector_table(docs: DataFrame, markers: list[str]) -> DataFrame:
+    """id, idx array<int>, n array<int> of every row, written to the shared folder: markers by place, then words by slot."""
+    known = {t: i for i, t in enumerate(markers)}
+    roots = {t.split("#")[0] for t in markers}
+    first = len(markers)
 
     def run(batches):
-        of = Memo(lambda w: tuple(t for t in _begins(w) if t in roots))
+        of = Memo(lambda w: (first + zlib.crc32(w) % WORDS, tuple(t for t in _begins(w) if t in roots)))
         for batch in batches:
-            idx, n = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
                 out: Counter = Counter()
-                for found in map(of.__getitem__, words_of(text)):
-                    if found:
-                        out.update(found)
+                plain: Counter = Counter()
+                for w, c in Counter(words_of(text)).items():
+                    slot, found = of[w]
+                    plain[slot] += c
+                    for t in found:
+                        out[t] += c
                 for t, c in [*out.items()]:
                     out.update({f"{t}#{k}": 1 for k in (2, 3) if c >= k})
-                held = sorted((known[t], c) for t, c in out.items() if t in known)
-                idx.append([i for i, _ in held])
-                n.append([c for _, c in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(idx, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["id", "idx", "n"])
+                rows.append(sorted([(known[t], c) for t, c in out.items() if t in known]) + sorted(plain.items()))
+            ends = np.cumsum([len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(lists([x[j] for r in rows for x in r], ends, pa.int32()) for j in (0, 1))], names=["id", "idx", "n"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return cut(docs.select("id", "text").mapInArrow(run, f"id {kind}, idx array<int>, n array<int>"), "toxicity")
+    return cut(in_arrow(docs.select("id", "text"), run, f"id {kind}, idx array<int>, n array<int>"), "toxicity")
 
 
 @dataclass
@@ -116,6 +126,15 @@ class Rows:
         r, at = np.nonzero(dense)
         return cls(np.searchsorted(r, np.arange(len(dense) + 1)), at, dense[r, at], dense.shape[1])
 
+    @classmethod
+    def weighed(cls, idx: pa.ListArray, n: pa.ListArray, weights: np.ndarray) -> Rows:
+        """Unit rows of term numbers and their counts."""
+        starts = idx.offsets.to_numpy().astype(np.int64)
+        at = idx.flatten().to_numpy()
+        out = cls(starts - starts[0], at, (1 + np.log(n.flatten().to_numpy())) * weights[at], len(weights))
+        out.values /= np.maximum(np.sqrt(np.bincount(out.row(), out.values**2, len(out))), 1e-12)[out.row()]
+        return out
+
     def size(self) -> np.ndarray:
         return np.diff(self.starts)
 
@@ -129,6 +148,15 @@ class Rows:
         i = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[rows], size)
         return Rows(ends, self.at[i], self.values[i], self.width)
 
+    def parts(self):
+        """(row numbers, rows) in pieces of bounded rows and entries, one row at least."""
+        at = 0
+        while at < len(self):
+            end = int(np.searchsorted(self.starts, self.starts[at] + _ENTRIES, "right")) - 1
+            rows = np.arange(at, max(at + 1, min(end, at + _ROWS, len(self))))
+            yield rows, self.take(rows)
+            at = int(rows[-1]) + 1
+
     def largest(self) -> np.ndarray:
         """The place of the largest value of each row, of equal ones the first; 0 of empty rows."""
         order = np.lexsort((self.at, -self.values, self.row()))
@@ -137,17 +165,22 @@ class Rows:
         out[some] = self.at[order[self.starts[:-1][some]]]
         return out
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((len(self), self.width))
-        out[self.row(), self.at] = self.values
+    def dense(self, columns: np.ndarray | None = None) -> np.ndarray:
+        """All columns, or those given, in order."""
+        columns = np.arange(self.width) if columns is None else columns
+        place = np.full(self.width, -1)
+        place[columns] = np.arange(len(columns))
+        out = np.zeros((len(self), len(columns)))
+        mine = place[self.at] >= 0
+        out[self.row()[mine], place[self.at[mine]]] = self.values[mine]
         return out
 
 
 @dataclass
 class Index:
-    """Postings by term, in order of example; for each term and block where its postings start and their largest weight."""
+    """Postings by term, in order of example, with the largest weight of each block, and dense columns of frequent terms."""
 
-    idf: np.ndarray
+    weights: np.ndarray
     rows: Rows | np.ndarray
     labels: np.ndarray
     ids: np.ndarray
@@ -157,75 +190,83 @@ class Index:
             self.rows = Rows.of(self.rows)
         order = np.lexsort((self.ids, self.rows.largest()))
         self.rows, self.labels, self.ids = self.rows.take(order), self.labels[order], self.ids[order]
-        terms = self.rows.width
-        self.blocks = -(-len(self.rows) // BLOCK)
-        d = self.rows.row()
-        by = np.lexsort((d, self.rows.at))
-        self.docs, self.weights, t = d[by], self.rows.values[by], self.rows.at[by]
-        key = t * self.blocks + self.docs // BLOCK
-        self.starts = np.searchsorted(key, np.arange(terms)[:, None] * self.blocks + np.arange(self.blocks + 1))
-        self.largest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.largest, (t, self.docs // BLOCK), self.weights)
-        self.slope, self.offset, self.none = 1.0, 0.0, 0.0
-        self.calibrated = False
+        n, d, t = len(self.rows), self.rows.row(), self.rows.at
+        self.blocks = -(-n // BLOCK)
+        often = np.bincount(t, minlength=self.rows.width) * _OFTEN > n
+        self.often = np.flatnonzero(often)
+        self.columns = self.rows.dense(self.often)
+        by = np.lexsort((d, t))
+        by = by[~often[t[by]]]
+        self.docs, self.posted = d[by].astype(np.int32), self.rows.values[by]
+        self.starts = np.searchsorted(t[by], np.arange(self.rows.width + 1))
+        self.most = np.zeros((self.rows.width, self.blocks), np.float32)
+        np.maximum.at(self.most, (t, d // BLOCK), (self.rows.values * (1 + 1e-6)).astype(np.float32))  # not below the weights
+        self.slope, self.offset, self.calibrated = 1.0, 0.0, False
 
     @property
     def dense(self) -> np.ndarray:
         return self.rows.dense()
 
-    @property
-    def batch(self) -> int:
-        """Queries at once, so that their dense rows stay small however many terms there are."""
-        return max(1, min(_BATCH, _CELLS // max(1, self.rows.width)))
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, queries: Rows) -> np.ndarray:
+        """No cosine of a query with an example of a block is larger (queries x blocks)."""
+        out = np.zeros((len(queries), self.blocks))
+        some = queries.size() > 0
+        if some.any():
+            terms = self.most[queries.at] * queries.values[:, None]
+            out[some] = np.add.reduceat(terms, queries.starts[:-1][some], axis=0)
+        return out + 1e-9
+
+    def _cosines(self, queries: Rows, dense: np.ndarray, alive: np.ndarray, out: np.ndarray) -> None:
+        """Writes the cosines of the examples of each query's blocks that are alive."""
+        n = len(self.rows)
+        first, count = self.starts[queries.at], np.diff(self.starts)[queries.at]
+        entry = np.repeat(np.arange(len(queries.at)), count)
+        post = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        row, doc = queries.row()[entry], self.docs[post]
+        go = alive[row, doc // BLOCK]
+        row, doc, entry, post = row[go], doc[go], entry[go], post[go]
+        sparse = np.bincount(row * n + doc, queries.values[entry] * self.posted[post], len(queries) * n).reshape(len(queries), n)
+        for b in np.flatnonzero(alive.any(0)).tolist():
+            q, part = np.flatnonzero(alive[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            out[q, part] = dense[q] @ self.columns[part].T + sparse[q, part]
+
+    def nearest(self, queries: Rows | np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and examples of the k nearest of each unit query; ties go to the earlier example. leave: one not to take."""
-        n, k = len(queries), min(k, max(1, len(self.labels)))
-        best, who = np.full((n, k), -1.0), np.full((n, k), -1)
-        bound = queries @ self.largest
-        order = np.argsort(-bound, axis=1, kind="stable")
-        q_of, t_of = np.nonzero(queries)
-        first = np.searchsorted(q_of, np.arange(n + 1))
-        go = np.arange(n)
-        for r in range(self.blocks):
-            b = order[go, r]
-            held = (bound[go, b] > 0) & (bound[go, b] + 1e-12 >= best[go, -1])
-            go, b = go[held], b[held]
-            if not len(go):
-                break
-            m = first[go + 1] - first[go]
-            row = np.repeat(np.arange(len(go)), m)
-            pair = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[go], m)
-            lo, hi = self.starts[t_of[pair], b[row]], self.starts[t_of[pair], b[row] + 1]
-            c = hi - lo
-            post = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
-            slot = np.repeat(row, c) * BLOCK + self.docs[post] % BLOCK
-            w = self.weights[post] * np.repeat(queries[q_of[pair], t_of[pair]], c)
-            cos = np.bincount(slot, w, len(go) * BLOCK).reshape(len(go), BLOCK)
-            ex = b[:, None] * BLOCK + np.arange(BLOCK)
-            cos = np.where(cos > 0, cos, -1.0)
+        queries = Rows.of(queries) if isinstance(queries, np.ndarray) else queries
+        k = min(k, max(1, len(self.rows)))
+        best, who = np.full((len(queries), k), -1.0), np.full((len(queries), k), -1)
+        for rows, part in queries.parts() if len(self.rows) else ():
+            bound, dense = self.bounds(part), part.dense(self.often)
+            cos = np.full((len(part), len(self.rows)), -1.0)
+            alive = np.zeros(bound.shape, bool)
+            alive[np.arange(len(part)), bound.argmax(1)] = True
+            self._cosines(part, dense, alive, cos)
+            if leave is not None:
+                cos[np.arange(len(part)), leave[rows]] = -1.0
+            edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1]  # the k-th nearest so far
+            alive = ~alive & (bound >= np.maximum(edge, 0)[:, None])
+            self._cosines(part, dense, alive, cos)
             if leave is not None:
-                cos[ex == leave[go][:, None]] = -1.0
-            both, names = np.concatenate([best[go], cos], 1), np.concatenate([who[go], ex], 1)
-            top = np.lexsort((names, -np.round(both, 12)), axis=1)[:, :k]
-            best[go], who[go] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+                cos[np.arange(len(part)), leave[rows]] = -1.0
+            cos = np.where(cos > 1e-12, np.round(cos, 12), -1.0)
+            near = largest(cos, k)
+            got = np.take_along_axis(cos, near, 1)
+            order = np.argsort(-got, axis=1, kind="stable")
+            best[rows], who[rows] = np.take_along_axis(got, order, 1), np.take_along_axis(near, order, 1)
         who[best <= 0] = -1
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         w = np.where(who >= 0, np.maximum(best, 0), 0.0) ** POWER
         y = np.where(who >= 0, self.labels[who], 0.0) if len(self.labels) else np.zeros_like(w)
-        return (w * y).sum(1) / np.maximum(w.sum(1), 1e-12)
+        return (w * y).sum(1) / np.maximum(w.sum(1), 1e-300)
 
     def calibrate(self) -> None:
-        """A logistic curve of the votes that the examples get from the others, and the share of 1 among empty vectors."""
-        some = self.rows.size() > 0
+        """A logistic curve of the votes that the examples get from the others."""
+        some = np.flatnonzero(self.rows.size() > 0)
         y = self.labels[some]
-        self.none = float((self.labels[~some].sum() + 0.5) / ((~some).sum() + 5))
         if len(y) and 0 < y.sum() < len(y):
-            at = np.flatnonzero(some)
-            parts = (at[i : i + self.batch] for i in range(0, len(at), self.batch))
-            v = np.concatenate([self.votes(*self.nearest(self.rows.take(p).dense(), leave=p)) for p in parts])
+            v = self.votes(*self.nearest(self.rows.take(some), leave=some))
             x, b = np.stack([v, np.ones_like(v)], 1), np.zeros(2)
             for _ in range(50):
                 p = 1 / (1 + np.exp(-x @ b))
@@ -234,31 +275,29 @@ class Index:
             self.slope, self.offset, self.calibrated = float(b[0]), float(b[1]), b[0] > 0
 
     def score(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """The calibrated vote; without any neighbour that of no vote for label 1."""
         v = self.votes(best, who)
-        p = 1 / (1 + np.exp(-(self.slope * v + self.offset))) if self.calibrated else v
-        return np.where((who >= 0).any(1), p, min(self.none, 0.49) if len(self.labels) else 0.0)
-
-
-def _weigh(idx, n, idf: np.ndarray) -> Rows:
-    """Unit rows of term numbers and their counts."""
-    starts = np.concatenate([[0], np.cumsum([len(a) for a in idx])]).astype(np.int64)
-    at = np.array([t for a in idx for t in a], np.int64)
-    out = Rows(starts, at, (1 + np.log(np.array([c for x in n for c in x], np.float64))) * idf[at], len(idf))
-    out.values /= np.maximum(np.sqrt(np.bincount(out.row(), out.values**2, len(out))), 1e-12)[out.row()]
-    return out
+        return 1 / (1 + np.exp(-(self.slope * v + self.offset))) if self.calibrated else v
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, rows: int = SAMPLE) -> tuple[DataFrame, Index]:
     """The vector table of docs (columns id, text) and the index over at most `rows` labelled examples."""
     sample = cut(sampled(labels, "toxic", MOD, HELD_OUT, rows, id_col), "toxicity-sample")
-    terms = vocabulary(docs, sample, rows)
-    table = vector_table(docs, terms)
-    df = np.zeros(len(terms))
+    chosen = cut(joined(docs, sample, "text"), "toxicity-examples")
+    markers = vocabulary(chosen)
+    table = vector_table(docs, markers)
+    df = np.zeros(len(markers) + WORDS)
     for r in table.select(F.explode("idx").alias("t")).groupBy("t").count().collect():  # a row for each term at most
         df[r[0]] = r[1]
-    idf = np.log((1 + table.count()) / (1 + df)) + 1
-    found = joined(table, sample, rows).orderBy("id").collect()
-    index = Index(idf, _weigh([r["idx"] for r in found], [r["n"] for r in found], idf), np.array([float(r["label"] > 0) for r in found]), np.array([r["id"] for r in found]))
+    weights = np.log((1 + table.count()) / (1 + df))
+    weights[: len(markers)] += 1
+    weights[len(markers) :] *= PLAIN
+    found = joined(table, sample, "idx", "n").orderBy("id").toArrow().combine_chunks()  # `rows` at most
+    if len(found):
+        examples = Rows.weighed(found["idx"].combine_chunks(), found["n"].combine_chunks(), weights)
+    else:
+        examples = Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), len(weights))
+    index = Index(weights, examples, (found["label"].to_numpy() > 0).astype(np.float64), found["id"].to_numpy(zero_copy_only=False))
     index.calibrate()
     return table, index
 
@@ -266,25 +305,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, rows: int = SAMPLE) ->
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out boolean, score double, predicted int, evidence array<struct<id,label,cosine>> of every row of docs.
 
-    Texts without a term of the vocabulary (null and empty ones too) get the smoothed share of label 1 among such
-    examples, kept below one half, and no evidence. Repeated rows and null ids stay. No documents: no rows; no labels:
-    score 0. Label rows with a null id or label are left out; of repeated ones the largest label counts. Extra columns
-    are ignored, and labels, lang, source and ids are no inputs.
+    Texts without a word that any example holds (null and empty ones too) have no evidence and get the score of no vote
+    for label 1. Repeated rows and null ids stay. No documents: no rows; no labels: score 0. Label rows with a null id
+    or label are left out; of repeated ones the largest label counts, and where rows of a labelled id differ, the one of
+    the smallest text teaches. Extra columns are ignored, and labels, lang, source and ids are no inputs.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table, index = fit(rows, labels, id_col)
+    table, index = fit(rows, labels.withColumnRenamed(id_col, "id"), "id")
     sent = docs.sparkSession.sparkContext.broadcast(index)  # the entries of SAMPLE sparse rows, and terms x blocks of bounds
     kind = table.schema["id"].dataType.simpleString()
 
     def run(batches):
         ix = sent.value
         for batch in batches:
-            for part in (batch.slice(i, ix.batch) for i in range(0, batch.num_rows, ix.batch)):
-                near = ix.nearest(_weigh(part.column(1).to_pylist(), part.column(2).to_pylist(), ix.idf).dense())
-                ids, ys = ix.ids.tolist(), ix.labels.astype(int).tolist()
-                ev = [[{"id": ids[w], "label": ys[w], "cosine": c} for c, w in zip(cs, ws, strict=True) if w >= 0] for cs, ws in zip(near[0].tolist(), near[1].tolist(), strict=True)]
-                ev = pa.array(ev, pa.list_(pa.struct([("id", part.schema.field(0).type), ("label", pa.int32()), ("cosine", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ix.score(*near), pa.float64()), ev], names=["id", "score", "evidence"])
-
-    scored = table.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>")
+            for part in (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS)):
+                best, who = near = ix.nearest(Rows.weighed(part.column(1), part.column(2), ix.weights))
+                some = who >= 0
+                flat = who[some]
+                fields = [pa.array(ix.ids[flat], part.schema.field(0).type), pa.array(ix.labels[flat].astype(np.int32)), pa.array(best[some])]
+                evidence = lists(pa.StructArray.from_arrays(fields, names=["id", "label", "cosine"]), np.cumsum(some.sum(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ix.score(*near), pa.float64()), evidence], names=["id", "score", "evidence"])
+
+    scored = in_arrow(table, run, f"id {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>")
     return scored.select(F.col("id").alias(id_col), (remainder("id", MOD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

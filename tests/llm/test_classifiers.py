@@ -112,13 +112,49 @@ def test_contamination(spark, monkeypatch, size, shard):
     assert {r.n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
 
 
-def test_longest_matches():
-    items = decontaminate.Items([("i", " ".join(f"w{j}" for j in range(40)))])
-    from folioscope.llm.common import numbered
-
-    docs = ["x y", "x " + " ".join(f"w{j}" for j in range(5, 30)) + " y", " ".join(f"w{j}" for j in range(9))]
-    shard = decontaminate.Shard(items, [numbered(t, items.get) for t in docs])
-    assert shard.matches() == [(1, 1, 25, 0)]
+def plain_matches(docs, items, least=10):
+    """Every maximal run of words that a document and a row of items share, found place by place; none within another."""
+    out = []
+    for d, t in docs:
+        w, found = words(t), set()
+        for name, item in items:
+            v = words(item)
+            m, own = min(least, len(v)), []
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if m and n >= m and (p == 0 or q == 0 or w[p - 1] != v[q - 1]):
+                        own.append((p, n, q))
+            own = [x for x in own if not any(y[0] <= x[0] and x[0] + x[1] <= y[0] + y[1] and y[:2] != x[:2] for y in own)]
+            best = {}
+            for p, n, q in own:  # of equal places in the document any place of the item will do
+                best.setdefault((p, n), set()).add(q)
+            found |= {(str(name) if name is not None else "", p, n, frozenset(q)) for (p, n), q in best.items()}
+        out.append((d, found))
+    return out
+
+
+@pytest.mark.parametrize("size,piece", [(8_000_000, 200_000), (60, 7)])
+def test_longest_matches(spark, monkeypatch, size, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontaminate, "_PAIRS", 5)
+    rng = random.Random(4)
+    voc = ["a", "b", "c", "d"]
+    items = [(1, "a b c q q q b c x"), (2, " ".join(rng.choice(voc) for _ in range(60))), (3, "a b"), (4, "b " * 12), (2, " ".join(rng.choice(voc) for _ in range(30)))]
+    docs = [(0, "z a b c x z"), (1, "z a b c q q q b c x"), (2, "b " * 9), (3, None)]
+    docs += [(10 + i, " ".join(rng.choice(voc) for _ in range(5)) + " " + " ".join(items[1][1].split()[i : i + 11 + 3 * i]) + " z " + " ".join(items[4][1].split()[2 * i : 2 * i + 12])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.matches for r in decontaminate.contamination(df, bench, window=4, pass_bytes=size).collect()}
+    for d, want in plain_matches(docs, items, 4):
+        held = {(m.item, m.start, m.words): m.item_start for m in got[d]}
+        assert held.keys() == {x[:3] for x in want}, d
+        assert all(held[x[:3]] in x[3] for x in want if sum(x[:3] == y[:3] for y in want) == 1)
+        assert [m.start for m in got[d]] == sorted(m.start for m in got[d])
+    # Windows of one item that do not follow one another in it are no longer match.
+    assert {(m.item, m.start, m.words) for m in got[0]} == {("3", 1, 2)}
 
 
 BASE = {
@@ -151,7 +187,7 @@ def test_patterns_as_stated():
 
 def test_field_and_spans(spark):
     rows = pii.labelled_table(99)
-    decoder = pii.Decoder(pii.train(pii.labelled_table()))
+    decoder = pii.Decoder(pii.trained())
     labels, start = decoder.labels([t for t, _ in rows])
     right = [labels[start[i] : start[i + 1]].tolist() == y for i, (_, y) in enumerate(rows)]
     assert np.mean(right) > 0.97
@@ -159,7 +195,7 @@ def test_field_and_spans(spark):
     def viterbi(tokens):  # one line, plainly
         f, e = decoder.field, []
         for t in range(len(tokens)):
-            e.append(sum((f.weights[o, list(pii.token_slots(tokens[u]))].sum(0) for o, u in ((0, t), (1, t - 1), (2, t + 1)) if 0 <= u < len(tokens)), np.zeros(5)))
+            e.append(sum((f.weights[o, list(f.slots(tokens[u]))].sum(0) for o, u in ((0, t), (1, t - 1), (2, t + 1)) if 0 <= u < len(tokens)), np.zeros(len(pii.LABELS))))
         score, back = e[0], []
         for x in e[1:]:
             via = score[:, None] + f.steps
@@ -172,6 +208,15 @@ def test_field_and_spans(spark):
 
     for i, (tokens, _) in enumerate(rows[::7]):
         assert viterbi(tokens) == labels[start[7 * i] : start[7 * i + 1]].tolist()
+    # Weights drawn by chance leave few tokens certain; the labels are still those of the whole line.
+    rng = np.random.default_rng(5)
+    for scale in (0.2, 1.0):
+        decoder = pii.Decoder(pii.Field(decoder.field.names, rng.normal(0, scale, decoder.field.weights.shape), rng.normal(0, scale, decoder.field.steps.shape)))
+        decoder.field.weights[:, :, 0] += scale
+        lines = [[t for row in rows[i : i + 3] for t in row[0]] for i in range(0, 300, 3)]
+        labels, start = decoder.labels(lines)
+        for i in range(0, 100, 9):
+            assert viterbi(lines[i]) == labels[start[i] : start[i + 1]].tolist()
     text = "Hello,\n  call (415) 555-0132 now\ttoken = \"0123456789abcdef0123456789abcdef\"\nmail a@b.com"
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (None, text, "x"), (1, text, "x")], "doc_id long, text string, spans string")
     got = pii.find_spans(df).collect()
@@ -191,16 +236,18 @@ def test_shapes_of_long_tokens_count_to_their_end():
     assert not same(start + "漢字" * 500, start + "{};=" * 250)
     parts = [start, "x1" * 32, "=/;" * 21 + "A", "end"]
     assert same("".join(parts), " ".join(parts))
+    assert not same("one two", "one six")
     assert quality.pieces("a bc\n" + "d" * 64) == ["a", "bc", "d" * 64]
 
 
 def test_spans_are_the_same_in_long_lines():
-    decoder = pii.Decoder(pii.train(pii.labelled_table()))
+    decoder = pii.Decoder(pii.trained())
     for lead in ("phone: 0123", "Call me at 415  555", "Tel. (415) "):
         text = f"{lead}   456789 after lunch."
         short = decoder.spans([text])[0]
         assert decoder.spans([text + " of the" * 2000])[0] == short
     assert pii._spans("0123  456789" + " x" * 4000, [1, 2] + [0] * 4000, 5) == [("phone", 5, 17)]
+    assert decoder.spans(["My SSN: 123-45-6789, IBAN DE89 3704 0044 0532 0130 00 please"])[0] == [("id", 8, 19), ("iban", 26, 53)]
     assert pii._spans("0123 x 456789", [1, 0, 2], 0) == []
     assert pii.shape_features("a" * 128 + "1" * 400) != pii.shape_features("a" * 128)
 
