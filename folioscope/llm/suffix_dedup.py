@@ -15,18 +15,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Memo, Tables, cut, in_arrow, numbered
 from .near_dedup import mix
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM, PASSAGE = 400, 64, 50
 #: Bytes sorted by quicksort, bytes of text that one pass of the rolling hash takes, contexts sorted at once.
 SHALLOW, PASS, AT_ONCE = 96, 1 << 18, 16_384
 #: Anchors of one gram above which its windows are dealt by slices of SLICE offsets and the bytes that a slice shares.
 HOT, SLICE = 4096, 48
 
+#: Low bits of a gram's hash that give way to its place.
+_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -43,16 +46,18 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """Runs of windows that share an anchor, as rows (anchor, first window, last window, gram hash) of int64.
 
-    data: the bytes of texts one after another, each from its place in starts (which ends with the size of data).
+    data: the symbols of texts one after another, each from its place in starts (which ends with the size of data). Equal
+    windows have the same anchor in any data, as places are told apart by the same number of hash bits everywhere.
     """
     n = len(data)
+    if n >= 1 << _BITS:
+        raise ValueError(f"one pass takes fewer than {1 << _BITS} symbols")
     if n < length:
         return np.zeros((0, 4), np.int64)
     power, inverse = _tables(n + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
     h = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
-    bits = int(n).bit_length()
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << _BITS) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while reach * 2 <= width:
@@ -73,8 +78,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     return np.stack([at[first], first, last, h[at[first]].view(np.int64)], 1)
 
 
-def _passes(texts: list[bytes], length: int):
-    """(data, starts, [(text number, offset of its first byte)]) of about PASS bytes; long texts overlap by a window."""
+def _passes(texts: list[np.ndarray], length: int):
+    """(data, [(text number, offset of its first symbol)]) of about PASS symbols; long texts overlap by a window."""
     held, of, n = [], [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(1, len(t) - length + 1), PASS):
@@ -89,11 +94,11 @@ def _passes(texts: list[bytes], length: int):
         yield held, of
 
 
-def anchor_rows(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+def anchor_rows(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM):
     """(text number, anchor, first, last, gram hash) arrays over all texts, offsets within each text."""
     for parts, of in _passes(texts, length):
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        rows = anchors(np.frombuffer(b"".join(parts), np.uint8), starts, length, gram)
+        rows = anchors(np.concatenate(parts), starts, length, gram)
         part = np.searchsorted(starts, rows[:, 0], "right") - 1
         # An anchor of a window lies within it, so in the same part.
         shift = np.array([a for _, a in of], np.int64)[part] - starts[part]
@@ -200,12 +205,16 @@ def common_prefixes(order: np.ndarray, group: np.ndarray, padded: np.ndarray, si
     return out
 
 
-def repeated(group: np.ndarray, right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """repeated[i, s]: whether the window that starts s bytes before anchor i equals that of another anchor of its group.
+def repeated(
+    group: np.ndarray, right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH, unit: int = 1, source: np.ndarray | None = None
+) -> np.ndarray:
+    """repeated[i, s]: whether the window that starts s symbols before anchor i equals that of another anchor of its group.
 
-    right: bytes from the anchor on; left: bytes before it, last first. low, high: the offsets that an anchor has.
+    right: bytes from the anchor on; left: bytes before it, last first; unit: bytes of a symbol. low, high: the offsets
+    that an anchor has. source: where given, the other anchor must be of another source.
     """
     n = len(group)
+    source = np.arange(n) if source is None else source
     sides = []
     for padded, size in ((right, right_size), (left, left_size)):
         order = deep_shallow_order(group, padded, size)
@@ -218,37 +227,49 @@ def repeated(group: np.ndarray, right: np.ndarray, right_size: np.ndarray, left:
         on = np.flatnonzero((low <= s) & (s <= high))
         if len(on) < 2:
             continue
-        r = np.cumsum(r_common < length - s)[r_rank[on]]
-        key = r * (n + 1) + np.cumsum(l_common < s)[l_rank[on]]
+        r = np.cumsum(r_common < (length - s) * unit)[r_rank[on]]
+        key = r * (n + 1) + np.cumsum(l_common < s * unit)[l_rank[on]]
         by = np.argsort(key, kind="stable")
-        k = key[by]
-        pair = k[1:] == k[:-1]
-        hit = np.zeros(len(on), bool)
-        hit[by[1:]] = pair
-        hit[by[:-1]] |= pair
-        out[on[hit], s] = True
+        k, of = key[by], source[on[by]]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        hit = np.repeat(several, np.diff(np.append(first, len(k))))
+        out[on[by[hit]], s] = True
     return out
 
 
 # --- plans ----------------------------------------------------------------------------------------------------------
 
 
-def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+_word = Memo(xxhash.xxh32_intdigest, lasting=True)
+
+
+def _words(text: str) -> np.ndarray:
+    """Four bytes for each word, as a passage of words is the same whatever stands between them."""
+    return numbered(text, _word.__getitem__).astype(np.uint32)
+
+
+def _anchor_table(docs: DataFrame, length: int, gram: int, symbols) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 keys = part.column(0)
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                texts = [symbols(t) for t in part.column(1).to_pylist()]
                 for i, a, lo, hi, g in anchor_rows(texts, length, gram):
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), pa.array(g), pa.array(a), pa.array(lo), pa.array(hi)], names=["h", "gram", "a", "lo", "hi"])
 
-    return cut(docs.select("h", "text").mapInArrow(run, "h binary, gram long, a long, lo long, hi long"), "anchors")
+    return in_arrow(docs.select("h", "text"), run, "h binary, gram long, a long, lo long, hi long")
 
 
-def _contexts(marked: DataFrame, length: int) -> DataFrame:
-    """A row for each anchor (hot: for each slice of its windows) with the bytes that its windows cover."""
+def _contexts(marked: DataFrame, length: int, symbols) -> DataFrame:
+    """A row for each anchor (hot: for each slice of its windows) with the bytes of the symbols that its windows cover."""
 
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    step = min(SLICE, max(1, length // 8))
 
     def sent(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "h", "a", "lo", "hi", "bytes"])
@@ -261,23 +282,24 @@ def _contexts(marked: DataFrame, length: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))]).tolist()
             rows = []
             for d, (h, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                data = text.encode("utf-8", "surrogatepass")
+                data = symbols(text)
+                u, data = data.itemsize, data.tobytes()
                 for a, lo, hi, gram, hot in zip(*(c[ends[d] : ends[d + 1]] for c in columns), strict=True):
                     if not hot:
-                        rows.append((gram, h, a, lo, hi, data[lo : hi + length]))
-                    for s in range((a - hi) // SLICE * SLICE, a - lo + 1, SLICE) if hot else ():
-                        # Windows s to s + SLICE - 1 before the anchor all cover these bytes, so the text has them all.
-                        first, last = max(lo, a - s - SLICE + 1), min(hi, a - s)
-                        core = data[a - s : a - s - SLICE + 1 + length]
+                        rows.append((gram, h, a, lo, hi, data[lo * u : (hi + length) * u]))
+                    for s in range((a - hi) // step * step, a - lo + 1, step) if hot else ():
+                        # Windows s to s + step - 1 before the anchor all cover these symbols, so the text has them all.
+                        first, last = max(lo, a - s - step + 1), min(hi, a - s)
+                        core = data[(a - s) * u : (a - s - step + 1 + length) * u]
                         key = int.from_bytes(hashlib.blake2b(s.to_bytes(4, "little") + core, digest_size=8, key=gram.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                        rows.append((key, h, a, first, last, data[first : last + length]))
+                        rows.append((key, h, a, first, last, data[first * u : (last + length) * u]))
                     if len(rows) >= 2048:
                         yield sent(rows)
                         rows = []
             if rows:
                 yield sent(rows)
 
-    return marked.select("h", "text", "marks").mapInArrow(run, "key long, h binary, a long, lo long, hi long, bytes binary")
+    return in_arrow(marked.select("h", "text", "marks"), run, "key long, h binary, a long, lo long, hi long, bytes binary")
 
 
 def _groups(batches):
@@ -298,27 +320,28 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """h, start, end: maximal runs of bytes under repeated windows of one anchor. Groups are streamed in order of key."""
+def _repeats(contexts: DataFrame, length: int, unit: int, across: bool) -> DataFrame:
+    """h, start, end: maximal runs of symbols under repeated windows of one anchor. Groups are streamed in order of key."""
 
     def run(batches):
         for t in _groups(batches):
             key, a, lo, hi = (t.column(i).to_numpy() for i in (0, 2, 3, 4))
-            n = len(key)
-            single = np.ones(n, bool)
+            single = np.ones(len(key), bool)
             single[1:] &= key[1:] != key[:-1]
             single[:-1] &= key[1:] != key[:-1]
             if single.all():
                 continue
             t, key, a, lo, hi = t.filter(pa.array(~single)), key[~single], a[~single], lo[~single], hi[~single]
             n = len(key)
-            right, left = np.zeros((n, length + 8), np.uint8), np.zeros((n, length + 8), np.uint8)
+            width = (length + 8 // unit) * unit
+            right, left = np.zeros((n, width), np.uint8), np.zeros((n, width), np.uint8)
             for i, b in enumerate(t.column(5).to_pylist()):
                 d = np.frombuffer(b, np.uint8)
-                c = a[i] - lo[i]
+                c = (a[i] - lo[i]) * unit
                 right[i, : len(d) - c] = d[c:]
                 left[i, :c] = d[:c][::-1]
-            again = repeated(key, right, hi - a + length, left, a - lo, a - hi, a - lo, length)
+            source = t.column(1).combine_chunks().dictionary_encode().indices.to_numpy() if across else None
+            again = repeated(key, right, (hi - a + length) * unit, left, (a - lo) * unit, a - hi, a - lo, length, unit, source)
             steps = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, s0 = np.nonzero(steps == 1)
             _, s1 = np.nonzero(steps == -1)
@@ -326,7 +349,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(pa.array(row)), pa.array(a[row] - s1 + 1), pa.array(a[row] - s0 + length)], names=["h", "start", "end"])
 
     sent = contexts.repartition("key").sortWithinPartitions("key")
-    return sent.mapInArrow(run, "h binary, start long, end long")
+    return in_arrow(sent, run, "h binary, start long, end long")
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -340,32 +363,49 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id_col, n_bytes long, spans array<struct<start,end>> (maximal runs to remove), kept_sha256 string of every row.
+def _released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is written; without it they stay until the driver is short of memory."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _found(rows: DataFrame, copies: DataFrame, length: int, gram: int, symbols, unit: int, across: bool, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The anchors, the texts (h, text, copies) of which one repeats, and h, spans of them; all written.
+
+    rows: id, h, text; copies: h, copies, first. across: only what another text holds too.
+    """
+    anchors_ = tables.cut(_anchor_table(rows, length, gram, symbols), "anchors")
+    # Copies of a text have the same anchors at the same places, so those alone do not count.
+    place = F.xxhash64("h") if across else F.xxhash64("h", "a")
+    shared = anchors_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.max(place).alias("q")).filter("p != q")
+    # Written, so that the join on a very common gram can be split.
+    shared = tables.cut(shared.select("gram", (F.col("n") > HOT).alias("hot")), "grams")
+    marks = anchors_.join(shared, "gram").groupBy("h").agg(F.collect_set(F.struct("a", "lo", "hi", "gram", "hot")).alias("marks"))
+    # One row of each text: that of its smallest id, so that copies of a text are spread over tasks.
+    wanted = tables.cut(marks.join(copies, "h"), "marks")
+    _released(rows.sparkSession)
+    held = rows.join(wanted.select("h", "marks", "copies", F.col("first").alias("id_first")), (rows["h"] == wanted["h"]) & rows["id"].eqNullSafe(F.col("id_first")))
+    held = tables.cut(held.select(rows["h"], "text", "marks", "copies"), "marked")
+    _released(rows.sparkSession)
+    spans = _repeats(_contexts(held, length, symbols), length, unit, across).groupBy("h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return anchors_, held, tables.cut(spans, "spans")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE) -> DataFrame:
+    """id_col, n_bytes long, spans array<struct<start,end>> (maximal runs to remove), kept_sha256, n_passages of every row.
 
     A byte is removed if a string of `length` bytes that covers it starts anywhere else too, in any row, the same one
-    included; strings do not cross rows and are judged on the input. Null texts are empty; texts shorter than `length`
-    keep all. Repeated rows are copies of each other, so they lose all bytes if long enough. No documents: no rows.
-    Extra columns are ignored.
+    included; strings do not cross rows and are judged on the input. n_passages long counts the maximal runs of `passage`
+    words or more that stand in another row too, whatever parts the words; they are not removed. Null texts are empty;
+    texts shorter than `length` keep all. Repeated rows are copies of each other, so they lose all bytes if long enough.
+    No documents: no rows. Extra columns are ignored.
     """
+    tables = Tables(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
     rows = rows.select("id", "text", "sha", F.substring("sha", 1, 16).alias("h"))  # half of it names a text in what is shuffled
     short = rows.select("id", "h", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
     copies = cut(short.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")), "copies")
-    found = _anchor_table(rows, length, gram)
-    place = F.xxhash64("h", "a")  # copies of a text share it, so their anchors alone do not count
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.max(place).alias("q")).filter("p != q").select("gram", (F.col("n") > HOT).alias("hot"))
-    marks = found.join(shared, "gram").groupBy("h").agg(F.collect_set(F.struct("a", "lo", "hi", "gram", "hot")).alias("marks"))
-    # One row of each text: that of its smallest id, so that copies of a text are spread over tasks.
-    wanted = cut(marks.join(copies, "h"), "marks")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the anchors' shuffle files before texts move
-    held = cut(
-        rows.join(wanted.select("h", "marks", "copies", F.col("first").alias("id_first")), (rows["h"] == wanted["h"]) & rows["id"].eqNullSafe(F.col("id_first"))).select(rows["h"], "text", "marks", "copies"),
-        "marked",
-    )
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written
-    spans = _repeats(_contexts(held, length), length).groupBy("h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    _, held, spans = _found(rows, copies, length, gram, _bytes, 1, False, tables)
 
     def remove(batches):
         one = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -382,8 +422,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sums.append(rest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, one), pa.array(sums, pa.string())], names=["h", "spans", "kept"])
 
-    once = held.filter("copies = 1").select("h", "text").join(spans, "h").mapInArrow(remove, "h binary, spans array<struct<start:bigint,end:bigint>>, kept string")
-    by_text = copies.join(once, "h", "left").select("h", "copies", "spans", "kept")
+    once = in_arrow(held.filter("copies = 1").select("h", "text").join(spans, "h"), remove, "h binary, spans array<struct<start:bigint,end:bigint>>, kept string")
+    once = cut(once, "removed")
+    tables.drop()
+    _released(docs.sparkSession)
+
+    def count(batches):
+        for batch in batches:
+            n = [len(union([(s["start"], s["end"]) for s in found])) for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["h", "n_passages"])
+
+    anchors_, _, spans = _found(rows, copies, passage, max(1, passage // 6), _words, 4, True, tables)
+    passages = cut(anchors_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(in_arrow(spans, count, "h binary, n_passages long"), "h", "left").select("h", "n_passages"), "passages")
+    tables.drop()
+    _released(docs.sparkSession)
+    by_text = copies.join(once, "h", "left").join(passages.withColumn("long", F.lit(True)), "h", "left").select("h", "copies", "spans", "kept", "n_passages", "long")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     return short.join(by_text, "h").select(
@@ -391,4 +444,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "n_bytes",
         F.when(gone, F.array(whole)).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & F.col("long"), F.lit(1).cast("long")).otherwise(F.coalesce("n_passages", F.lit(0).cast("long"))).alias("n_passages"),
     )

@@ -74,3 +74,15 @@ def test_deep_shallow_order():
     order = sd.deep_shallow_order(group, padded, size)
     assert [(group[i], strings[i]) for i in order] == sorted((g, s) for g, s in zip(group, strings, strict=True))
     assert [strings[i] for i in sd.blind_trie_order(strings)] == sorted(strings)
+
+
+def test_passages_of_words_that_other_rows_hold(spark):
+    rng = random.Random(11)
+    name = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [name(50), name(51), name(49), name(200)]
+    own = " ".join(name(60))
+    rows = [(0, " ".join(name(30) + shared[0] + name(9))), (1, " ".join(name(70)) + "\n" + ", ".join(shared[0]).upper()), (2, " ".join(shared[1] + name(5) + shared[3][:120])), (3, " ".join(name(5) + shared[1] + name(5) + shared[3]))]
+    rows += [(4, " ".join(name(80) + shared[2])), (5, " ".join(shared[2] + name(80))), (6, own + " and " + own), (7, " ".join(shared[3][100:])), (8, "copy " * 49), (9, "copy " * 49), (10, "same " * 50), (11, "same " * 50), (12, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.n_passages for r in sd.repeated_spans(df).collect()}
+    assert found == {0: 1, 1: 1, 2: 2, 3: 2, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0, 9: 0, 10: 1, 11: 1, 12: 0}
