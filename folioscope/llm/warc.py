@@ -1,13 +1,15 @@
 """WARC: archives written by Spark's text writer, read back as whole files, and assembled to captures.
 
-Records end with CRLF CRLF, which is the writer's line separator, so any store that Spark writes to takes archives and
-the commit protocol covers lost tasks. A capture has a request, a response (or revisit) and a metadata record; request
-and metadata name the response in WARC-Concurrent-To, by which the reader joins them again.
+Each record is a gzip member of its own. The writer takes members as lines without their last byte, which is 0 (the
+length is less than 2**24), and 0 is its line separator; so any store that Spark writes to takes archives and the commit
+protocol covers lost tasks. Files are bounded by bytes. A capture has a request, a response (or revisit) and a metadata
+record; request and metadata name the response in WARC-Concurrent-To, by which the reader joins them again.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -16,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, in_arrow
+
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of record in a file, and of a gzip member (its last byte is 0 below 2**24), and how hard to compress.
+FILE_BYTES, _MEMBER, _LEVEL = 32_000_000, (1 << 24) - 1, 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,14 +48,15 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, per_file: int = 3000
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, file_bytes: int = FILE_BYTES
 ) -> None:
-    """Write three records for each row of pages to gzip-compressed archives below path.
+    """Write three records for each row of pages to archives of gzip members below path.
 
     Payload: payload_col in UTF-8, null as empty. Of equal payloads of at least revisit_from bytes the one with the
     smallest id (null ids last, then the earlier row) is a response and the others are revisits that refer to it;
     smaller ones are all responses. Null url: urn:none. Repeated rows and null ids give records of their own. No rows:
-    no records. Other columns are ignored. per_file bounds the records of a file, so that a reader holds few.
+    no records. Other columns are ignored. A file ends after file_bytes of record, so that a reader holds few; a record
+    of 16 MB or more is several members.
     """
     p = pages.select(
         F.col(id_col).alias("id"),
@@ -73,8 +80,34 @@ def write_archives(
     response = _record([*base("response", F.lit("response")), digest, ("Content-Type", F.lit("application/http;msgtype=response"))], F.concat(http, F.col("payload")))
     revisit = _record([*base("response", F.lit("revisit")), digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", _urn(of, "response")), ("Content-Type", F.lit("application/http;msgtype=response"))], http)
     metadata = _record([*base("metadata", F.lit("metadata")), with_, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")))
-    rows = p.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows = p.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("record")).select(F.col("record").cast("binary").alias("record"))
+
+    def members(batches):
+        done = 0
+        for batch in batches:
+            out, part = [], []
+            for record in batch.column(0):
+                data = record.as_py() + b"\r\n\r\n"
+                for i in range(0, len(data), _MEMBER):
+                    member = gzip.compress(data[i : i + _MEMBER], _LEVEL, mtime=0)
+                    out.append(member[:-1])
+                    part.append(done // file_bytes)
+                done += len(data)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(part, pa.int64())], names=["value", "part"])
+
+    packed = in_arrow(rows, members, "value binary, part long").select(F.col("value").cast("string").alias("value"), "part")
+    packed.write.partitionBy("part").option("lineSep", "\0").text(path)
+
+
+def _unpacked(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members one after another; read by pieces, as what follows a member is copied where it ends."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        while not d.eof and at < len(data):
+            given = view[at : at + piece]
+            yield d.decompress(given)
+            at += len(given) - len(d.unused_data)
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -84,12 +117,7 @@ def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     a record does not start with WARC/ or is cut short.
     """
     if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(out)
+        data = b"".join(_unpacked(data))
     at = 0
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
@@ -145,9 +173,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives below path; own_digest and payload_bytes are computed from the payload read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parse(with_payload), _SCHEMA)
+    """One row per record of the archives below path; own_digest and payload_bytes are computed from the payload read.
+
+    Parsed once and written, as captures are assembled from several readings. A path without archives has no records.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return cut(in_arrow(files, _parse(with_payload), _SCHEMA), "warc-records")
 
 
 def assemble(records: DataFrame) -> DataFrame:

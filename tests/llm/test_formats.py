@@ -40,7 +40,7 @@ def test_warc(spark):
     rows = [(5, "http://a", "<p>x</p>", "k"), (3, "http://b\r\n", "<p>x</p>", "k"), (7, None, None, "k"), (8, "u", "", "k"), (9, "u", "a\r\n\r\nWARC/1.1\r\nb", "k"), (None, "u", "é" * 50_000, "k"), (3, "http://b", "<p>x</p>", "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
     path = scratch(spark, "t")
-    warc.write_archives(df, path, per_file=4)
+    warc.write_archives(df, path, file_bytes=2000)
     got = warc.assemble(warc.read_records(spark, path)).collect()
     assert len(got) == len(rows) and all(r.request and r.metadata for r in got)
     by = sorted(((r.page_id or "", r.capture.type) for r in got))
@@ -60,6 +60,42 @@ def test_warc(spark):
         list(warc.records_of(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_archives_are_members_of_bounded_files(spark, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "_MEMBER", 70_000)
+    rows = [(i, f"http://h/{i}", ("é\0\n" * 3000 if i % 7 else "x" * 500_000) + str(i // 2)) for i in range(60)]
+    path = scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=100_000)
+    found = 0
+    for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect():
+        data = gzip.decompress(bytes(r.content))
+        records = list(warc.records_of(bytes(r.content)))
+        assert records == list(warc.records_of(data)) and len(data) < 100_000 + 600_000
+        assert bytes(r.content).count(b"\x1f\x8b\x08\x00\0\0\0\0") >= len(records)
+        found += len(records)
+    assert found == 180
+
+
+def test_pages_query(spark, tmp_path):
+    """op3 against plain Python over a small table with equal, empty and null pages."""
+    import base64
+
+    from folioscope.llm import queries
+
+    rows = [(i, "u", [None, "", "a", "é" * 900, f"own {i}"][i % 5]) for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op3_warc(spark, str(tmp_path)).collect()}
+    first = {}
+    for i, _, t in rows:
+        first.setdefault((t or "").encode(), i)
+    assert len(got) == 40
+    for i, _, t in rows:
+        data, r = (t or "").encode(), got[i]
+        want = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first[data] == i else "revisit", None if first[data] == i else first[data])
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == want
+
+
 def test_bpe_as_the_library(spark):
     from tokenizers import Tokenizer
 
