@@ -53,8 +53,9 @@ def format_conversations(
     Turns are ordered by turn, then role and text, so repeated or tied rows keep a defined order and are all kept.
     Null role or text: empty. Null turn: first. A null conversation id is a conversation of its own. No rows: no
     conversations. Other columns are ignored. A conversation is first rendered as it is; where the deterministic
-    parser does not read the source turns back, its conflicting content is escaped and it is rendered again. Spans are
-    code points of `formatted`, end exclusive, of the bodies of loss_role turns.
+    parser does not read the source turns back, its conflicting content is escaped and it is rendered and read again;
+    text that does not come back then either is an error. Spans are code points of `formatted`, end exclusive, of the
+    bodies of loss_role turns.
     """
     turns = (
         rows.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
@@ -64,9 +65,8 @@ def format_conversations(
     plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     tried = turns.select("conv", plain.alias("turns"), F.array_join(F.transform("turns", lambda t: render_turn(t["role"], t["text"])), "").alias("plain"))
     held = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    safe = tried.select(
-        "conv", "turns", F.when(parse(F.col("plain")) == F.col("turns"), F.col("turns")).otherwise(held).alias("bodies"), (parse(F.col("plain")) != F.col("turns")).alias("escaped")
-    )
+    read = tried.select("conv", "turns", (parse(F.col("plain")) != F.col("turns")).alias("escaped"))
+    safe = read.select("conv", "turns", "escaped", F.when(F.col("escaped"), held).otherwise(F.col("turns")).alias("bodies"))
     # A body starts after what stands before it: sums over the lengths of the turns before.
     ends = F.aggregate(
         "bodies",
@@ -85,11 +85,13 @@ def format_conversations(
         ),
         lambda s: s["role"] == F.lit(loss_role),
     )
-    return placed.select(
+    shown = placed.select("conv", "turns", "escaped", F.array_join(F.transform("bodies", lambda t: render_turn(t["role"], t["text"])), "").alias("formatted"), spans.alias("spans"))
+    lost = F.col("escaped") & (parse(F.col("formatted")) != F.col("turns"))
+    return shown.select(
         F.col("conv").alias(conv),
-        F.array_join(F.transform("bodies", lambda t: render_turn(t["role"], t["text"])), "").alias("formatted"),
+        F.when(lost, F.raise_error(F.lit("a conversation does not come back from its formatted text"))).otherwise(F.col("formatted")).alias("formatted"),
         "escaped",
-        F.transform(spans, lambda s: F.struct(s["start"], s["end"])).alias("loss_spans"),
+        F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("loss_spans"),
     )
 
 
