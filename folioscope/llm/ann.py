@@ -5,11 +5,14 @@ the neighbours and reverse neighbours of each node meet in one row group and pro
 neighbour is likely a neighbour. The graph compares directions (cosine), so no norm changes how others are linked.
 Queries walk the graph in rounds of joins: each keeps its nearest nodes by inner product so far and opens the nearest
 that it has not opened; nodes of rare large norms are entries of every walk. Walks use half-precision directions and
-single-precision norms, results exact inner products in double.
+single-precision norms, results exact inner products in double. What walks find is measured: for some queries all rows
+are scanned, and where walks miss too many of their nearest, all walk again with a wider beam, at the end by a scan of
+all rows for all queries, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import uuid
 
@@ -19,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, in_arrow
 
 #: Neighbours of a node, rounds at most, share of new neighbours at which rounds end, hash tables and their block.
 NEIGHBOURS, ROUNDS, SETTLED, TABLES, BLOCK = 20, 6, 0.08, 4, 384
-#: Proposals that a member takes from one meeting; nodes that a query holds, opens per hop, and hops at most.
-PROPOSALS, BEAM, OPEN, HOPS = 8, 80, 24, 8
+#: Proposals that a member takes from one meeting; (nodes that a query holds, opens per hop, hops at most), wider each time.
+PROPOSALS, WALKS = 8, ((80, 24, 8), (320, 96, 10))
+#: Queries whose nearest are found by a scan too, the share of these that walks must find, and queries of a block of a scan.
+MEASURED, TARGET, SCAN = 64, 0.94, 1024
 #: Nodes at most that every walk starts at besides its own, those of the largest norms from this multiple of the median.
 ENTRIES, RARE = 32, 2.0
+log = logging.getLogger(__name__)
 _LISTS = "ids array<long>, sims array<float>"
 _SPAN = 65_536
 
@@ -92,7 +98,7 @@ def _half(vectors: DataFrame, norm: float) -> DataFrame:
             half, share = (x / size[:, None]).astype(np.float16), (size * (most / norm)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() + s.tobytes() for r, s in zip(half, share, strict=True)], pa.binary())], names=["node", "half"])
 
-    return vectors.select("node", "vector").mapInArrow(run, "node long, half binary")
+    return in_arrow(vectors.select("node", "vector"), run, "node long, half binary")
 
 
 def _start(half: DataFrame, dims: int, bits: int, k: int) -> DataFrame:
@@ -120,9 +126,9 @@ def _start(half: DataFrame, dims: int, bits: int, k: int) -> DataFrame:
                 size = np.full(len(node), m)
                 yield pa.RecordBatch.from_arrays([part.column(2), _list(node[near].ravel(), size, pa.int64()), _list(np.take_along_axis(s, near, 1).ravel(), size, pa.float32())], names=["node", "ids", "sims"])
 
-    rows = half.mapInArrow(keyed, "t int, key long, node long, half binary")
+    rows = in_arrow(half, keyed, "t int, key long, node long, half binary")
     spread = rows.repartitionByRange("t", "key", "node").sortWithinPartitions("t", "key", "node")
-    return spread.mapInArrow(blocks, f"node long, {_LISTS}")
+    return in_arrow(spread, blocks, f"node long, {_LISTS}")
 
 
 def _merged(held: DataFrame, lists: DataFrame, k: int) -> DataFrame:
@@ -151,7 +157,7 @@ def _merged(held: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     own = held.select("node", "half", "ids", "sims", F.lit(True).alias("old"))
     new = lists.select("node", F.lit(None).cast("binary").alias("half"), "ids", "sims", F.lit(False).alias("old"))
     rows = own.unionByName(new).repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(run, f"node long, half binary, {_LISTS}, fresh array<boolean>")
+    return in_arrow(rows, run, f"node long, half binary, {_LISTS}, fresh array<boolean>")
 
 
 def _meetings(graph: DataFrame, k: int, turn: int) -> DataFrame:
@@ -195,7 +201,7 @@ def _proposals(meetings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)[some], pa.int64()), _list(np.concatenate(ids), size[some], pa.int64()), _list(np.concatenate(sims), size[some], pa.float32())], names=["node", "ids", "sims"])
 
     rows = meetings.repartition("dest").sortWithinPartitions("dest")
-    return rows.mapInArrow(run, f"node long, {_LISTS}")
+    return in_arrow(rows, run, f"node long, {_LISTS}")
 
 
 def build_graph(vectors: DataFrame, norm: float, dims: int, count: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
@@ -226,7 +232,7 @@ def _opened(graph: DataFrame, k: int) -> str:
 
     spark = graph.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _meetings(graph, k, 0).repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(run, "node long, ids array<long>, halves binary")
+    rows = in_arrow(_meetings(graph, k, 0).repartition(n, "dest").sortWithinPartitions("dest"), run, "node long, ids array<long>, halves binary")
     name = f"ann_{uuid.uuid4().hex}"
     rows.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").saveAsTable(name)
     return name
@@ -244,10 +250,10 @@ def _walked(opened: DataFrame) -> DataFrame:
                 sims.append(x @ _parts(h, 1)[0][0] * norms)
             yield pa.RecordBatch.from_arrays([b.column(0), _list(ids, size, pa.int64()), _list(np.concatenate(sims) if sims else np.zeros(0), size, pa.float32())], names=["q", "ids", "sims"])
 
-    return opened.select("q", "half", "ids", "halves").mapInArrow(run, f"q long, {_LISTS}")
+    return in_arrow(opened.select("q", "half", "ids", "halves"), run, f"q long, {_LISTS}")
 
 
-def _beams(held: DataFrame | None, found: DataFrame, beam: int) -> DataFrame:
+def _beams(held: DataFrame | None, found: DataFrame, beam: int, opened: int) -> DataFrame:
     """q, half, ids, sims, open: the nearest nodes of each query, those to open next being marked 1, opened ones 2."""
 
     def run(batches):
@@ -262,7 +268,7 @@ def _beams(held: DataFrame | None, found: DataFrame, beam: int) -> DataFrame:
             best = _first([-sims, ids], q[row], beam)
             row, ids, sims, state = row[best], ids[best], sims[best], state[best]
             todo = np.flatnonzero(state == 0)
-            state[todo[_first([-sims[todo], ids[todo]], q[row[todo]], OPEN)]] = 1
+            state[todo[_first([-sims[todo], ids[todo]], q[row[todo]], opened)]] = 1
             mine = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False))
             at = np.searchsorted(q[mine], q[row])
             size = np.bincount(at, minlength=len(mine))
@@ -270,7 +276,7 @@ def _beams(held: DataFrame | None, found: DataFrame, beam: int) -> DataFrame:
 
     new = found.select("q", F.lit(None).cast("binary").alias("half"), "ids", "sims", F.transform("ids", lambda _: F.lit(0)).alias("open"))
     rows = held.unionByName(new).repartition("q").sortWithinPartitions("q")
-    return rows.mapInArrow(run, f"q long, half binary, {_LISTS}, open array<int>")
+    return in_arrow(rows, run, f"q long, half binary, {_LISTS}, open array<int>")
 
 
 def _started(asked: DataFrame, entries: list[tuple[int, bytes]]) -> DataFrame:
@@ -288,25 +294,84 @@ def _started(asked: DataFrame, entries: list[tuple[int, bytes]]) -> DataFrame:
             size = np.full(len(q), ids.shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list(ids.ravel(), size, pa.int64()), _list(sims.ravel(), size, pa.float32()), _list(np.ones(ids.size), size, pa.int32())], names=["q", "half", "ids", "sims", "open"])
 
-    return asked.select("node", "half").mapInArrow(run, f"q long, half binary, {_LISTS}, open array<int>")
+    return in_arrow(asked.select("node", "half"), run, f"q long, half binary, {_LISTS}, open array<int>")
 
 
-def search(graph: DataFrame, queries: DataFrame, entries: list[int] = (), k: int = NEIGHBOURS, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """q, cand: the nodes that each query node (column q) holds at the end of its walk from itself and the entries."""
-    index = _opened(graph, k)
+def search(graph: DataFrame, index: str, queries: DataFrame, entries: list[int], walk: tuple[int, int, int]) -> DataFrame:
+    """q, cand: the nodes that each query node (column q) holds at the end of its walk from itself and the entries.
+
+    index: the table that _opened() wrote; walk: one of WALKS.
+    """
+    beam, opened, hops = walk
     table = graph.sparkSession.table(index)
     first = [(r[0], bytes(r[1])) for r in graph.filter(F.col("node").isin(list(entries))).select("node", "half").collect()] if entries else []
     state = cut(_started(graph.join(queries.select(F.col("q").alias("node")).distinct(), "node"), first), "ann-beams")
     for _ in range(hops):
         front = state.select("q", "half", F.explode(F.arrays_zip("ids", "open")).alias("e")).filter("e.open = 1").select("q", "half", F.col("e.ids").alias("node"))
-        state = cut(_beams(state, _walked(front.join(table, "node")), beam), "ann-beams")
+        state = cut(_beams(state, _walked(front.join(table, "node")), beam, opened), "ann-beams")
         graph.sparkSession.sparkContext._jvm.System.gc()
         if not state.filter(F.array_contains("open", 1)).limit(1).count():
             break
-    graph.sparkSession.sql(f"DROP TABLE {index}")
     return state.select("q", F.explode("ids").alias("cand")).filter("q != cand")
 
 
+def scanned(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """q, cand, score: the k nearest nodes (node, vector) of each query node (q) by a scan of all, the node itself too.
+
+    Queries are sent to all tasks in blocks of bounded size; of each batch of nodes only the k nearest go on.
+    """
+    spark = nodes.sparkSession
+    asked = cut(nodes.join(queries.select(F.col("q").alias("node")).distinct(), "node").select(F.col("node").alias("q"), F.col("vector").alias("x")), "ann-scan")
+    blocks = -(-asked.count() // SCAN)
+    out = None
+    for i in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toArrow()
+        q = mine["q"].to_numpy()
+        if not len(q):
+            continue
+        x = _flat(mine["x"].combine_chunks())[0].astype(np.float64).reshape(len(q), -1)
+        sent = spark.sparkContext.broadcast((q, x))
+
+        def run(batches, sent=sent):
+            q, x = sent.value
+            for b in batches:
+                node = b.column(0).to_numpy()
+                s = _flat(b.column(1))[0].astype(np.float64).reshape(len(node), -1) @ x.T
+                m = min(k, len(node))
+                near = np.argpartition(-s, m - 1, axis=0)[:m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(q, m)), pa.array(node[near].ravel()), pa.array(np.take_along_axis(s, near, 0).ravel())], names=["q", "cand", "score"])
+
+        rows = in_arrow(nodes.select("node", "vector"), run, "q long, cand long, score double")
+        best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))
+        part = cut(rows.withColumn("place", best).filter(F.col("place") <= k).drop("place"), "ann-scanned")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "q long, cand long, score double")
+
+
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """The share of the nearest nodes (truth: q, cand, score) that found (q, cand) has, a node like the farthest counts as it."""
+    hit = truth.join(found.select("q", "cand").distinct().withColumn("hit", F.lit(1)), ["q", "cand"], "left")
+    r = hit.agg(F.count(F.lit(1)), F.sum(F.coalesce("hit", F.lit(0)))).first()
+    return r[1] / r[0] if r[0] else 1.0
+
+
+def walked(nodes: DataFrame, graph: DataFrame, asked: DataFrame, entries: list[int], top: int) -> DataFrame:
+    """q, cand of all query nodes: by walks that find TARGET of the nearest of MEASURED queries, else by scans."""
+    some = cut(asked.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(MEASURED), "ann-measured")
+    truth = scanned(nodes, some, top + 1).filter("q != cand")
+    index = _opened(graph, NEIGHBOURS)
+    try:
+        for walk in WALKS:
+            found = search(graph, index, asked, entries, walk)
+            share = recall(found.join(some, "q"), truth)
+            log.info("walks with %s find %.3f of the nearest of %s queries", walk, share, MEASURED)
+            if share >= TARGET:
+                return found
+    finally:
+        graph.sparkSession.sql(f"DROP TABLE IF EXISTS {index}")
+    return scanned(nodes, asked, top + 1).select("q", "cand").filter("q != cand")
+
+
 def _exact(pairs: DataFrame) -> DataFrame:
     """q, cand, score: inner products in double precision of the vectors x and y."""
 
@@ -315,7 +380,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
             x, y = (_flat(b.column(i))[0].astype(np.float64).reshape(b.num_rows, -1) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * y).sum(1), pa.float64())], names=["q", "cand", "score"])
 
-    return pairs.select("q", "cand", "x", "y").mapInArrow(run, "q long, cand long, score double")
+    return in_arrow(pairs.select("q", "cand", "x", "y"), run, "q long, cand long, score double")
 
 
 def nearest(rows: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -325,7 +390,8 @@ def nearest(rows: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_
     with a null id, a null or zero vector, a null or non-finite component, or fewer components than the longest take no
     part. Equal vectors are one node but all are candidates: of each node the top + 1 smallest ids can matter. A row is
     never its own candidate, nor are rows that repeat its id. With fewer candidates all found are returned; an empty
-    table gives no rows. Extra columns are ignored.
+    table gives no rows. Extra columns are ignored. Walks that find less than TARGET of the nearest are widened, in the
+    end to a scan, so recall on what is measured does not depend on the data.
     """
     v = F.col("vector")
     held = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(
@@ -343,7 +409,7 @@ def nearest(rows: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_
     asked = cut(held.filter(F.pmod("id", F.lit(every)) == 0).select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", F.col("node").alias("q")), ["h1", "h2"]).select(F.col("id").alias("query_id"), "q"), "ann-asked")
     graph = build_graph(nodes, norm, dims, nodes.count())
     large = nodes.filter(F.col("sq") > RARE**2 * (middle or 0.0)).orderBy(F.desc("sq"), "node").limit(ENTRIES)
-    found = search(graph, asked, [r[0] for r in large.select("node").collect()])
+    found = walked(nodes, graph, asked, [r[0] for r in large.select("node").collect()], top)
     found = found.unionByName(asked.select("q", F.col("q").alias("cand")).distinct())
     of = lambda name, col: nodes.select(F.col("node").alias(name), F.col("vector").alias(col))
     scored = cut(_exact(found.join(of("cand", "y"), "cand").join(of("q", "x"), "q")), "ann-scored")

@@ -61,3 +61,16 @@ def test_few_rows_and_rows_that_take_no_part(spark):
     assert got == {0: [(2, 1.0), (1, 0.5), (20, 0.0)], 20: [(1, 1.0), (0, 0.0), (2, 0.0)]}
     assert result(df.limit(0), every=20, top=3) == {}
     assert result(df.filter("vec_id = 0"), every=20, top=3) == {}
+
+
+@pytest.mark.parametrize("walks", [None, ()])
+def test_vectors_without_clusters(spark, monkeypatch, walks):
+    if walks is not None:
+        monkeypatch.setattr(ann, "WALKS", walks)  # scans alone: exact
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000 if walks is None else 700, 48)) * np.exp(rng.normal(0, 0.3, (4000 if walks is None else 700, 1)))
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got, want = result(df, every=20, top=20), brute(ids.tolist(), x, 20, 20)
+    hits = [len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hits) >= (0.9 if walks is None else 1.0), np.mean(hits)
