@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables, cut
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,13 +15,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
     """node, component (the smallest node that it is linked to, over any path) of every node that has a link.
 
     Self links and repeated links count once. A node with very many links is never gathered: stars take the smallest
-    neighbour by partial aggregation, and joins on hubs can be split.
+    neighbour by partial aggregation, and joins on hubs can be split. tables: what holds the tables of the rounds.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct(), "links")
+    cut_ = tables.cut if tables else cut
+    e = cut_(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct(), "links")
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = cut(small.filter("a != b").distinct(), "links")
+        e = cut_(small.filter("a != b").distinct(), "links")
         if (now := _mark(e)) == mark:
             break
         mark = now

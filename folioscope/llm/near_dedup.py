@@ -15,11 +15,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, cut, numbered
+from .common import Memo, Tables, cut, in_arrow, numbered
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -30,7 +30,7 @@ _SMALL = 16
 #: Rounds of comparisons with a further pivot go on while they bring the rows outside main components below this share.
 _SHRINK = 0.8
 
-_word_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w) >> 1)
+_word_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w) >> 1, lasting=True)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -93,43 +93,58 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (digest of the words), bands array<long> (empty without words) of each row, as a written table."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _key(id_col: str, text_col: str) -> Column:
+    """16 bytes that name a row by its id and text, null as empty."""
+    own = F.concat(F.when(F.col(id_col).isNull(), "n").otherwise("i"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.substring(F.unhex(F.sha2(own, 256)), 1, 16)
+
+
+def _held(docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> tuple[DataFrame, str, str]:
+    """docs bucketed by `key`, with their columns named by place, so that no later join moves a text; names of id and text."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.withColumnsRenamed(names).withColumn("key", _key(names[id_col], names[text_col]))
+    return tables.bucketed(keyed, "near_docs", "key"), names[id_col], names[text_col]
+
+
+def sign(held: DataFrame, id_col: str, text_col: str, tables: Tables) -> DataFrame:
+    """id, key, digest (of the words), bands array<long> (empty without words) of each row, as a written table."""
+    kind = held.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, _BATCH) for i in range(0, batch.num_rows, _BATCH)):
-                found = [shingles(t) for t in part.column(1).to_pylist()]
+                found = [shingles(t) for t in part.column(2).to_pylist()]
                 some = [i for i, f in enumerate(found) if len(f[0])]
                 keys = bands(signatures([found[i][0] for i in some], [np.ones(len(found[i][0])) for i in some])) if some else np.zeros((0, BANDS), np.int64)
                 sizes = np.zeros(part.num_rows + 1, np.int32)
                 sizes[[i + 1 for i in some]] = BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([f[2] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(keys.ravel()))],
-                    names=["id", "node", "bands"],
+                    [part.column(0), part.column(1), pa.array([f[2] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(keys.ravel()))],
+                    names=["id", "key", "digest", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(rows.mapInArrow(run, f"id {kind}, node binary, bands array<long>"), "near-signed")
+    rows = held.select(F.col(id_col).alias("id"), "key", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return tables.cut(in_arrow(rows, run, f"id {kind}, key binary, digest binary, bands array<long>"), "near-signed")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, set (shingle hashes, little-endian) of the wanted nodes (columns id, node), read from the document of that id."""
+def _sets(held: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """node, size, set (shingle hashes, little-endian) of the wanted nodes (columns key, node), read from the row of that key."""
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, _BATCH) for i in range(0, batch.num_rows, _BATCH)):
-                found = [shingles(t) for t in part.column(1).to_pylist()]
-                same = [(n, f[0].tobytes()) for n, f in zip(part.column(0).to_pylist(), found, strict=True) if f[2] == n]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in same], pa.binary()) for i in (0, 1)], names=["node", "set"])
+                found = [shingles(t)[0] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "set"])
+
+    rows = held.select("key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key").select("node", "text")
+    return in_arrow(rows, run, "node long, size long, set binary")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("node", "text").mapInArrow(run, "node binary, set binary"), "near-sets")
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, tables: Tables) -> DataFrame:
+    """The pairs (x, y) as links (a, b) whose sets have at least that Jaccard similarity, as a written table.
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that Jaccard similarity, as a written table."""
+    The sets are bucketed by node, so only those of the pairs move: each y's to the task of its x, and each x's once.
+    """
 
     def run(batches):
         for batch in batches:
@@ -143,15 +158,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                     shared = int((both[1:] == both[:-1]).sum())
                     ok = shared >= similarity * (lo + hi - shared) - 1e-9
                 hold.append(ok)
-            yield batch.select([0, 1]).filter(pa.array(hold, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hold, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    of = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
-    return cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary"), "near-links")
+    one = pairs.select("x").distinct().join(sets, F.col("x") == sets["node"]).select("x", F.col("set").alias("set_x"))
+    other = pairs.join(sets, F.col("y") == sets["node"]).select("x", "y", F.col("set").alias("set_y"))
+    return tables.cut(in_arrow(other.join(one, "x").select("x", "y", "set_x", "set_y"), run, "a long, b long"), "near-links")
 
 
-def _pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return cut(p.join(tested, ["a", "b"], "left_anti") if tested is not None else p, "near-pairs")
+def _pairs(pairs: DataFrame, tested: DataFrame | None, tables: Tables) -> DataFrame:
+    """The pairs (x, y), each once whatever the side, that are not among the tested ones."""
+    p = pairs.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.max("x").alias("x"))
+    if tested is not None:
+        p = p.join(tested.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), ["a", "b"], "left_anti")
+    return tables.cut(p.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), "near-pairs")
 
 
 def _prefixes(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -169,17 +188,16 @@ def _prefixes(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(flat))], names=["node", "shingle"])
 
     held = sets.join(nodes, "node")
-    rows = held.select("node", "set").mapInArrow(run, "node binary, shingle long")
+    rows = in_arrow(held.select("node", "set"), run, "node long, shingle long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = rows.join(common, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
-    size = (F.octet_length("set") / 8).cast("long")
     own = ranked.groupBy("node").agg(F.max("rank").alias("known"))
-    overlap = F.ceil(similarity / (1 + similarity) * (size + F.greatest(F.col("least"), F.ceil(similarity * size - 1e-6))) - 1e-6)
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.greatest(F.col("least"), F.ceil(similarity * F.col("size") - 1e-6))) - 1e-6)
     places = held.join(own, "node").select("node", "comp", "rest", (F.col("known") - overlap + 1).alias("places"))
     return ranked.join(places, "node").filter("rank <= places").select("node", "comp", "rest", "shingle")
 
 
-def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def links(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str, similarity: float, tables: Tables) -> DataFrame:
     """Verified links (a, b) that join every two nodes which share a band and are similar enough, directly or by a path.
 
     A bucket's members are compared with one pivot, the one that shares most bands with others, not with each other.
@@ -188,48 +206,70 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, simila
     small buckets, and in large ones where their rarest shingles meet, which they must if they are similar. So no link
     that would join two components is left out, and no bucket is gathered in one place.
     """
-    nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("id", "bands")).alias("r")).select("node", "r.id", "r.bands")
-    rows = cut(nodes.select("node", "id", F.explode("bands").alias("key")), "near-nodes")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = rows.join(shared, "key")
+    rows = nodes.select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = tables.cut(rows.join(shared, "band"), "near-shared")
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
-    members = cut(members.join(central, "node"), "near-members")
-    pivots = members.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    if docs.select(id_col).distinct().count() < docs.count():  # rows that repeat must not repeat sets
-        docs = docs.select(id_col, text_col).distinct()
-    sets = _sets(docs, members.select("node", "id").distinct(), id_col, text_col)
-    tested = _pairs(members.join(pivots, "key").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None)
-    found = _verified(tested, sets, similarity)
-    members, before = members.select("key", "node", "met", "n"), None
+    members = tables.cut(members.join(central, "node"), "near-members")
+    pivots = members.groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+    sets = _sets(held, nodes.join(central.select("node"), "node").select("node", "key"), text_col)
+    if _repeated(signed).limit(1).count():  # rows that repeat must not repeat sets
+        sets = sets.dropDuplicates(["node"])
+    sets = tables.bucketed(sets, "near_sets", "node")
+    tested = _pairs(members.join(pivots, "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None, tables)
+    found = _verified(tested, sets, similarity, tables)
+    members, before = members.select("band", "node", "met", "n"), None
     while True:
-        placed = members.join(components(found), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
-        members = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key").withColumn("rest", F.col("comp") != F.col("main")), "near-open")
+        placed = members.join(components(found, tables=tables), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        main = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
+        members = tables.cut(placed.join(main.select("band", F.col("m.comp").alias("main")), "band").withColumn("rest", F.col("comp") != F.col("main")), "near-open")
         left = members.filter("rest AND n > " + str(_SMALL)).count()
         if before is not None and left > _SHRINK * before or before == 0:
             break
         rest = members.filter("rest")
-        pivots = rest.filter(F.col("n") > _SMALL).groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-        new = rest.join(pivots, "key").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        pivots = rest.filter(F.col("n") > _SMALL).groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+        new = rest.join(pivots, "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
         if before is None:
             few = members.filter(F.col("n") <= _SMALL)
-            other = few.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
-            new = new.unionByName(few.filter("rest").join(other, "key").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
-        new = _pairs(new, tested)
-        found, tested = found.unionByName(_verified(new, sets, similarity)), tested.unionByName(new)
-        before, members = left, members.select("key", "node", "met", "n")
+            other = few.select("band", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
+            new = new.unionByName(few.filter("rest").join(other, "band").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
+        new = _pairs(new, tested, tables)
+        found, tested = found.unionByName(_verified(new, sets, similarity, tables)), tested.unionByName(new)
+        before, members = left, members.select("band", "node", "met", "n")
         if not left:
             return found
-    sizes = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
     large = members.filter(F.col("n") > _SMALL)
-    least = large.join(sizes, "node").groupBy("key").agg(F.min("size").alias("least"))
-    last = cut(large.join(least, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.max("rest").alias("rest"), F.min("least").alias("least")), "near-last")
-    rare = cut(_prefixes(sets, last, similarity), "near-rare")
+    least = large.join(sets.select("node", "size"), "node").groupBy("band").agg(F.min("size").alias("least"))
+    last = tables.cut(large.join(least, "band").groupBy("node").agg(F.first("comp").alias("comp"), F.max("rest").alias("rest"), F.min("least").alias("least")), "near-last")
+    rare = tables.cut(_prefixes(sets, last, similarity), "near-rare")
     mixed = rare.groupBy("shingle").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p != q").select("shingle")
     rare = rare.join(mixed, "shingle")
     other = rare.select("shingle", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
     new = rare.filter("rest").join(other, "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y")
-    return found.unionByName(_verified(_pairs(new, tested), sets, similarity))
+    return found.unionByName(_verified(_pairs(new, tested, tables), sets, similarity, tables))
+
+
+def _repeated(signed: DataFrame) -> DataFrame:
+    """The keys of rows that come several times, with words."""
+    return signed.filter(F.size("bands") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+
+
+def _classes(held: DataFrame, id_col: str, text_col: str, similarity: float, tables: Tables) -> DataFrame:
+    """id, key, comp, class_id of every row, written; comp and class_id are null without words."""
+    signed = sign(held, id_col, text_col, tables)
+    some = signed.filter(F.size("bands") > 0)
+    # Numbered once and written, so that pairs, links and components are of numbers.
+    nodes = some.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("key", "bands")).alias("r"))
+    nodes = tables.cut(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "least", "r.key", "r.bands"), "near-nodes")
+    at = components(links(held, signed, nodes, text_col, similarity, tables), tables=tables)
+    placed = tables.cut(nodes.join(at, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("comp")), "near-placed")
+    # Written, so that the join on a class of very many nodes can be split.
+    least = tables.cut(placed.groupBy("comp").agg(F.min("least").alias("class_id")), "near-least")
+    rows = signed.select("id", "key", "digest", (F.size("bands") > 0).alias("some"))
+    by = placed.join(least, "comp").select("digest", "comp", "class_id")
+    words = rows.filter("some").join(by, "digest").select("id", "key", "comp", "class_id")
+    none = rows.filter("NOT some").select("id", "key", F.lit(None).cast("long").alias("comp"), F.lit(None).cast(signed.schema["id"].dataType).alias("class_id"))
+    return cut(words.unionByName(none), "near-rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -239,22 +279,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same words are alike. Repeated rows stay and share a class; null ids stay (a class of nulls alone has a null
     id). No documents: no rows. Extra columns are ignored.
     """
-    signed = sign(docs, id_col, text_col)
-    at = components(links(docs, signed, id_col, text_col, similarity))
-    nodes = signed.groupBy("node").agg(F.min("id").alias("least")).join(at, "node", "left").select("node", "least", F.coalesce("component", "node").alias("comp"))
-    classes = nodes.groupBy("comp").agg(F.min("least").alias("class_id")).join(nodes.select("node", "comp"), "comp").select("node", "class_id")
-    return signed.join(classes, "node").select(F.col("id").alias(id_col), F.when(F.size("bands") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    tables = Tables(docs.sparkSession)
+    held, i, t = _held(docs.select(id_col, text_col), id_col, text_col, tables)
+    rows = _classes(held, i, t, similarity, tables)
+    tables.drop()
+    return rows.select(F.col("id").alias(id_col), F.when(F.col("comp").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns as they are, without those of a class that are not its smallest id.
+    """One row of docs, all columns as it is, of each class: that of the smallest id, then of the smallest key of id and text.
 
-    Of rows that repeat the id that stays, one stays; null ids stay.
+    Rows are told apart by id and text, so unlike texts that share an id both stay, and of rows that repeat both one
+    stays. Null ids come after all others; null texts and texts without words stay, as they are in no class.
     """
-    found = near_duplicates(docs, id_col, text_col, similarity)
-    gone = cut(found.filter(F.col("class_id") < F.col(id_col)).select(id_col).distinct(), "near-gone")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if found.select(id_col).distinct().count() < found.count():
-        none = kept.filter(F.col(id_col).isNull())
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(none)
-    return kept
+    tables = Tables(docs.sparkSession)
+    held, i, t = _held(docs, id_col, text_col, Tables(docs.sparkSession))  # read by the result, so it stays
+    rows = _classes(held, i, t, similarity, tables).filter("comp IS NOT NULL")
+    keeper = tables.cut(rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k")).select("comp", F.col("k.key").alias("kept")), "near-kept")
+    gone = cut(rows.join(keeper, "comp").filter("key != kept").select("key").distinct(), "near-gone")
+    again = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "near-again")
+    tables.drop()
+    kept = held.join(gone, "key", "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+        kept = kept.join(again, "key", "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)))

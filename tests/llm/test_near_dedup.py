@@ -110,3 +110,25 @@ def test_components(spark):
     at = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert at == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("small,shrink", [(2, 0.95), (1, -1.0)])
+def test_sizes_that_choose_the_way_change_no_class(spark, monkeypatch, small, shrink):
+    monkeypatch.setattr(near_dedup, "_SMALL", small)
+    monkeypatch.setattr(near_dedup, "_SHRINK", shrink)
+    rng = random.Random(13)
+    base, rows = [f"w{rng.randrange(300)}" for _ in range(90)], []
+    for _ in range(90):
+        base = list(base)
+        base[rng.randrange(90)] = f"w{rng.randrange(300)}"
+        rows.append((len(rows), " ".join(base)))
+    rng.shuffle(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == classes(rows)
+
+
+def test_rows_not_ids_are_kept(spark):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(60))
+    rows = [(1, text(1), "a"), (1, text(2), "b"), (2, text(2), "c"), (3, text(3), "d"), (3, text(3), "d"), (None, text(3), "e"), (None, text(4), "f"), (None, text(4), "f"), (7, None, "g"), (7, None, "g"), (8, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sha string")
+    kept = sorted((r.sha for r in near_dedup.keep_one(df).collect()))
+    assert kept == ["a", "b", "d", "f", "g", "g", "h"]
