@@ -131,3 +131,17 @@ def header_file_name(disposition: Column, url: Column) -> Column:
     """The name in a Content-Disposition header, else that in the URL."""
     named = F.nullif(F.regexp_extract(disposition, r'(?i)filename="?([^";]+)"?', 1), F.lit(""))
     return F.coalesce(named, url_file_name(url))
+
+
+def start_tags(text: Column) -> Column:
+    """The numbers of all <start_index_N> tags in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"<start_index_(\d+)>"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def first_start(text: Column) -> Column:
+    """The number of the first tag, -1 without one."""
+    return F.coalesce(F.try_element_at(start_tags(text), F.lit(1)), F.lit(-1))
+
+
+def last_start(text: Column) -> Column:
+    return F.coalesce(F.try_element_at(start_tags(text), F.lit(-1)), F.lit(-1))

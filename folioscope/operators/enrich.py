@@ -8,6 +8,8 @@ import time
 from abc import ABC, abstractmethod
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,12 +17,20 @@ from pyspark.sql import functions as F
 
 #: Attempts of a call, the pause between them, and calls a minute.
 ATTEMPTS, PAUSE_S, PER_MINUTE = 10, 1.0, 30
+#: Tasks that share a quota of calls.
+TASKS = 4
 ERROR = "Error"
 
 PROMPTS = {
     "toc_page": "Does this page hold a table of contents? Answer as JSON {{\"answer\": \"yes\"}} or {{\"answer\": \"no\"}}.\n\n{text}",
     "toc_numbers": "Does this table of contents give page numbers? Answer as JSON {{\"answer\": \"yes\"}} or {{\"answer\": \"no\"}}.\n\n{text}",
     "toc_items": "Turn this table of contents into JSON {{\"result\": [{{\"structure\": \"1.2\", \"title\": \"...\", \"page\": 3}}]}}.\n\n{text}",
+    "toc_complete": "Does the list hold every entry of this table of contents? Answer as JSON {{\"answer\": \"yes\"}} or {{\"answer\": \"no\"}}.\nList: {so_far}\n\n{text}",
+    "toc_next": "Go on with this JSON list where it breaks off, without repeating it: {so_far}\nTable of contents:\n{text}",
+    "item_page": "Which printed page does this contents entry name? Answer as JSON {{\"structure\": \"1\", \"title\": \"...\", \"page\": 3}}.\nEntry: {item}\n\n{text}",
+    "item_place": "On which tagged page does this entry start? Answer as JSON {{\"structure\": \"1\", \"title\": \"...\", \"physical_index\": \"<physical_index_1>\"}}, null if it is on none.\nEntry: {item}\n\n{text}",
+    "image_alt": "Give a short alternative text for the image {title}.",
+    "image_description": "Describe the image {title} in at most two sentences.",
     "outline_first": "List the sections of this tagged text as JSON {{\"result\": [{{\"structure\": \"1\", \"title\": \"...\", \"physical_index\": \"<physical_index_1>\"}}]}}.\n\n{text}",
     "outline_next": "Go on with these sections: {so_far}\nList further sections of this tagged text in the same form.\n\n{text}",
     "title_on_page": "Does a section titled {title} appear on this page? Answer as JSON {{\"answer\": \"yes\"}} or {{\"answer\": \"no\"}}.\n\n{text}",
@@ -76,7 +86,63 @@ class HttpClient(Client):
             return json.load(got)["choices"][0]["message"]["content"]
 
 
-CLIENTS: dict[str, Callable[..., Client]] = {"stub": Stub, "http": HttpClient}
+class MessagesClient(Client):
+    """A messages endpoint with a version header; JSON replies are asked for in the prompt."""
+
+    ONLY_JSON = "Answer with one valid JSON value and nothing around it."
+
+    def __init__(self, url: str, key: str, model: str, version: str = "2023-06-01", most_tokens: int = 8192, timeout_s: float = 60):
+        if not key:
+            raise ValueError("a key is required")
+        self.url, self.key, self.model, self.version, self.most_tokens, self.timeout_s = url, key, model, version, most_tokens, timeout_s
+
+    def body(self, prompt: str, json_reply: bool) -> dict:
+        asked = f"{prompt}\n\n{self.ONLY_JSON}" if json_reply else prompt
+        return {"model": self.model, "max_tokens": self.most_tokens, "temperature": 0, "messages": [{"role": "user", "content": asked}]}
+
+    @staticmethod
+    def text(reply: dict) -> tuple[str, bool]:
+        """The text of a reply, and whether it was cut at the most tokens."""
+        return "".join(p["text"] for p in reply.get("content", []) if p.get("type") == "text"), reply.get("stop_reason") == "max_tokens"
+
+    def generate(self, prompt: str, json_reply: bool = False) -> str:
+        import urllib.request
+
+        headers = {"Content-Type": "application/json", "x-api-key": self.key, "anthropic-version": self.version}
+        ask = urllib.request.Request(self.url, json.dumps(self.body(prompt, json_reply)).encode(), headers)
+        with urllib.request.urlopen(ask, timeout=self.timeout_s) as got:
+            return self.text(json.load(got))[0]
+
+
+class Rules(Client):
+    """Deterministic replies for tests: that of the first rule whose strings all stand in the prompt, else no."""
+
+    def __init__(self, rules: list[tuple[tuple[str, ...], str]]):
+        self.rules = rules
+
+    def generate(self, prompt: str, json_reply: bool = False) -> str:
+        return next((reply for parts, reply in self.rules if all(p in prompt for p in parts)), '{"answer": "no"}')
+
+
+CLIENTS: dict[str, Callable[..., Client]] = {"stub": Stub, "http": HttpClient, "messages": MessagesClient}
+_active: ContextVar[Client | None] = ContextVar("folioscope_client", default=None)
+
+
+@contextmanager
+def using(client: Client):
+    """Plans that are built inside and get no client take this one."""
+    token = _active.set(client)
+    try:
+        yield client
+    finally:
+        _active.reset(token)
+
+
+def active(client: Client | None = None) -> Client:
+    """The client given, else the one in use; raises without either."""
+    if (found := client or _active.get()) is None:
+        raise ValueError("no client: give one or build the plan inside using()")
+    return found
 
 
 def client_of(provider: str, **settings) -> Client:
@@ -86,7 +152,7 @@ def client_of(provider: str, **settings) -> Client:
 
 
 class Limiter:
-    """At most `most` calls in any window of `seconds`, in one Python worker; divide a quota by the number of tasks."""
+    """At most `most` calls in any window of `seconds`, in one task."""
 
     def __init__(self, most: int = PER_MINUTE, seconds: float = 60.0, clock=time.monotonic, sleep=time.sleep):
         self.most, self.seconds, self.clock, self.sleep, self.times = most, seconds, clock, sleep, deque()
@@ -115,15 +181,19 @@ def prompt_of(name: str, **columns: Column) -> Column:
     return F.translate(out, "\x01\x02", "{}")
 
 
-def called(rows: DataFrame, prompt: Column, client: Client, json_reply: bool = False, per_minute: int | None = None, attempts: int = ATTEMPTS, pause_s: float = PAUSE_S) -> DataFrame:
+def called(rows: DataFrame, prompt: Column, client: Client | None, json_reply: bool = False, per_minute: int | None = None, attempts: int = ATTEMPTS, pause_s: float = PAUSE_S) -> DataFrame:
     """rows with reply and status: each different prompt is asked once, and replies join back by the prompt's hash.
 
-    A prompt that fails all attempts has the reply "Error" and status error; a null prompt is not asked.
+    A prompt that fails all attempts has the reply "Error" and status error; a null prompt is not asked. Replies are
+    kept, so that no later action or lost task asks again; per_minute is the quota of all tasks together.
     """
+    client = active(client)
     keyed = rows.withColumn("_prompt", prompt).withColumn("_h", F.sha2("_prompt", 256))
+    # The quota is for all tasks together, so it is dealt to a known number of them.
+    parts = max(1, min(TASKS, per_minute)) if per_minute else None
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = Limiter(per_minute) if per_minute else None
+        limit = Limiter(per_minute // parts) if parts else None
         for f in frames:
             out = []
             for text in f["_prompt"]:
@@ -140,7 +210,9 @@ def called(rows: DataFrame, prompt: Column, client: Client, json_reply: bool = F
                 out.append((reply, status))
             yield pd.DataFrame({"_h": f["_h"], "reply": [x[0] for x in out], "status": [x[1] for x in out]})
 
-    asked = keyed.filter("_h IS NOT NULL").groupBy("_h").agg(F.first("_prompt").alias("_prompt")).mapInPandas(ask, "_h string, reply string, status string")
+    each = keyed.filter("_h IS NOT NULL").groupBy("_h").agg(F.first("_prompt").alias("_prompt"))
+    each = each.repartition(parts, "_h") if parts else each
+    asked = kept(each.mapInPandas(ask, "_h string, reply string, status string"))
     return keyed.join(asked, "_h", "left").drop("_h", "_prompt")
 
 
@@ -224,3 +296,13 @@ def repaired(items: DataFrame, pages: DataFrame, client: Client, rounds: int = 3
         checked = called(seen, prompt_of("title_on_page", title=F.col("title"), text=F.col("text")), client, True).select("doc_id", "pos", "_new", yes(F.col("reply")).alias("_ok"))
         items = items.join(checked, ["doc_id", "pos"], "left").withColumns({"physical_index": F.coalesce("_new", "physical_index"), "correct": F.col("correct") | F.coalesce("_ok", F.lit(False))}).drop("_new", "_ok")
     return items
+
+
+def image_texts(images: DataFrame, client: Client | None = None, most: int = 200) -> DataFrame:
+    """images (title) with alt and description as one line each; a failed call leaves none."""
+    from folioscope.functions.tables import one_line
+
+    for name, prompt in (("alt", "image_alt"), ("description", "image_description")):
+        told = called(images, prompt_of(prompt, title=F.col("title")), client)
+        images = told.withColumn(name, F.when(F.col("status") == "ok", one_line(F.col("reply"), most))).drop("reply", "status")
+    return images

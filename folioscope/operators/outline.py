@@ -89,7 +89,7 @@ def repair_bounds(items: DataFrame, wrong: Column, first_page: int = 1, doc: str
     by = Window.partitionBy(doc).orderBy(pos)
     right = F.when(~wrong, F.struct(F.col(index).alias("i")))
     low = F.last(right, True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first(right, True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    high = F.last(right, True).over(Window.partitionBy(doc).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, -1))
     marked = items.withColumns({"_lo": low, "_hi": high, "_wrong": wrong})
     return marked.filter("_wrong").withColumns({"low": F.when(F.col("_lo").isNull(), F.lit(first_page)).otherwise(F.col("_lo.i")), "high": F.when(F.col("_hi").isNull(), F.col("page_count")).otherwise(F.col("_hi.i"))}).drop("_lo", "_hi", "_wrong")
 

@@ -46,7 +46,7 @@ def tree_search(structures: DataFrame, query: str, client: Client, preferences:
     """
     hints = ""
     if preferences is not None:
-        held = preferences.filter(F.contains(F.lower(F.lit(query)), F.lower("keyword"))).orderBy("keyword").limit(20).collect()
+        held = preferences.filter(F.contains(F.lower(F.lit(query)), F.lower("keyword"))).orderBy("keyword", "advice").collect()  # advice on one question
         hints = "".join(f"\nPreference: {r['advice']}" for r in held)
     prompt = prompt_of("tree_search", query=F.lit(query), preferences=F.lit(hints), text=F.col("structure"))
     return node_lists(called(structures, prompt, client, True))

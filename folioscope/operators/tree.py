@@ -22,11 +22,12 @@ def level_tree(nodes: DataFrame, levels: list[int], doc: str = "doc_id", pos: st
     levels: all levels that occur. Parent: the nearest node before with a smaller level; equal levels are siblings.
     """
     ordered = sorted(levels)
-    by = Window.partitionBy(doc).orderBy(pos)
-    past, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    by, back = Window.partitionBy(doc).orderBy(pos), Window.partitionBy(doc).orderBy(F.desc(pos))
+    # Running frames from either end: a frame that reaches to the end is computed anew for every row.
+    past, rest = by.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     marks = {f"_last{i}": F.last(F.when(F.col("level") == v, F.col(pos)), True).over(past) for i, v in enumerate(ordered)}
-    marks |= {f"_next{i}": F.first(F.when(F.col("level") <= v, F.col(pos)), True).over(rest) for i, v in enumerate(ordered)}
-    marks |= {"_end": F.last(pos).over(by.rowsBetween(0, Window.unboundedFollowing)), "_n": F.row_number().over(by)}
+    marks |= {f"_next{i}": F.last(F.when(F.col("level") <= v, F.col(pos)), True).over(rest) for i, v in enumerate(ordered)}
+    marks |= {"_end": F.max(pos).over(Window.partitionBy(doc)), "_n": F.row_number().over(by)}
     placed = nodes.withColumns(marks)
     path = []
     for i, v in enumerate(ordered):
@@ -145,3 +146,8 @@ def breadcrumb(tree: DataFrame, title: str = "title", doc: str = "doc_id", pos:
 def token_limit(tree: DataFrame, limit: int = 110_000, text: str = "text") -> DataFrame:
     """Nodes whose text has more tokens than a prompt may hold."""
     return tree.withColumn("token_count", tokens(F.col(text))).filter(F.col("token_count") > limit)
+
+
+def last_node(tree: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """doc, node_id, title: the last node of each tree."""
+    return tree.groupBy(doc).agg(F.max_by(F.struct("node_id", "title"), pos).alias("n")).select(doc, "n.*")

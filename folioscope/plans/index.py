@@ -73,7 +73,7 @@ def word_index(items: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame
     bare = cut.filter("section_ordinal = 1").join(heads.filter("section_ordinal = 1").select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("item_no").alias("line_num"))
     bare = bare.join(names, "doc_id").select("doc_id", F.lit(1).alias("section_ordinal"), F.lit(1).alias("level"), F.col("doc_name").alias("title"), "line_num")
     nodes = heads.unionByName(bare).join(body, ["doc_id", "section_ordinal"], "left")
-    levels = [r[0] for r in nodes.select("level").distinct().orderBy("level").limit(64).collect()]
+    levels = [r[0] for r in nodes.select("level").distinct().orderBy("level").collect()]  # levels of headings, not rows
     nodes = nodes.select("doc_id", F.col("section_ordinal").alias("pos"), "level", "title", "line_num", F.coalesce("text", F.lit("")).alias("text"), F.col("section_ordinal").alias("start_index"), F.col("section_ordinal").alias("end_index"))
     found = tree.widened(tree.level_tree(nodes, levels))
     numbered = B.word_blocks(cut.withColumnRenamed("item_no", "line_num"))

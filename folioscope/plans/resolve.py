@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import dots_to_colon, page_number, tokens
+from folioscope.functions.text import dots_to_colon, tokens
 from folioscope.operators import outline, packing, tree
 from folioscope.operators.blocks import page_text
-from folioscope.operators.enrich import Client, called, kept, outline_items, outlined, prompt_of, repaired, yes
+from folioscope.operators.enrich import Client, called, kept, outlined, prompt_of, repaired, yes
+from folioscope.plans.align import entries, located
 
 Pages = DataFrame  #: doc_id, page_no, text: one row per page
 
@@ -30,17 +31,21 @@ def contents_items(contents: DataFrame, client: Client) -> DataFrame:
     """doc_id, pos, structure, title, page of contents texts whose pages are numbered; others have no rows."""
     told = called(contents, prompt_of("toc_numbers", text=F.col("text")), client, True)
     numbered = told.filter(yes(F.col("reply"))).drop("reply", "status")
-    replied = called(numbered, prompt_of("toc_items", text=F.col("text")), client, True)
-    rows = replied.select("doc_id", F.posexplode(outline_items(F.col("reply"))).alias("pos", "i"))
-    return rows.select("doc_id", "pos", "i.structure", "i.title", page_number(F.col("i.page")).alias("page"))
+    return entries(numbered, client)
 
 
-def by_offset(items: DataFrame, pages: Pages, client: Client, sample: int = 10) -> DataFrame:
+def unnumbered_items(contents: DataFrame, client: Client) -> DataFrame:
+    """doc_id, pos, structure, title of contents texts that give no page numbers, asked for until they are complete."""
+    told = called(contents, prompt_of("toc_numbers", text=F.col("text")), client, True)
+    return entries(told.filter(~yes(F.col("reply"))).select("doc_id", "text"), client).drop("page")
+
+
+def by_offset(items: DataFrame, pages: Pages, client: Client) -> DataFrame:
     """items with physical_index: the printed page plus the most frequent distance to the page where a title was found.
 
-    The first items are looked for on the pages after the contents (column start_page of items, or all).
+    Every item is looked for on all pages of its document.
     """
-    first = items.filter(F.col("pos") < sample).join(pages, "doc_id")
+    first = items.join(pages, "doc_id")
     told = called(first, prompt_of("title_on_page", title=F.col("title"), text=F.col("text")), client, True)
     met = told.filter(yes(F.col("reply"))).groupBy("doc_id", "pos", "title", "page").agg(F.min("page_no").alias("physical_index"))
     offsets = outline.page_offset(met, "pos")
@@ -75,16 +80,22 @@ def verdicts(items: DataFrame) -> DataFrame:
 def resolved(pages: Pages, client: Client, within: int = 3, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(items, status): outline items of each document, and doc_id, mode, accuracy, status.
 
-    Contents with page numbers come first. Documents whose check is accepted keep them, those above 0.6 are repaired, and
-    the rest go on to the mode without contents; a document that fails there too has the status error and no items,
-    and the others go on.
+    Contents with page numbers come first, then contents without them, whose entries are looked for on the pages.
+    Documents whose check is accepted keep them, those above 0.6 are repaired, and the rest go on to the next mode, at
+    last to that without contents; a document that fails there too has the status error and no items, and the others
+    go on.
     """
-    listed = kept(contents_items(contents_text(pages, contents_run(pages, client, within)), client))
+    contents = kept(contents_text(pages, contents_run(pages, client, within)))
+    listed = kept(contents_items(contents, client))
     counts = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
     numbered = outline.within_pages(by_offset(listed, pages, client), counts).select("doc_id", "pos", "structure", "title", "physical_index")
     first = kept(checked(kept(numbered), pages, client))
     good = verdicts(first).filter("verdict <> 'next'").select("doc_id", "accuracy", F.lit("contents").alias("mode"))
     good = kept(good)
+    bare = kept(checked(located(unnumbered_items(contents, client), pages, client).select("doc_id", "pos", "structure", "title", "physical_index"), pages, client))
+    well = kept(verdicts(bare).filter("verdict <> 'next'").select("doc_id", "accuracy", F.lit("contents without pages").alias("mode")))
+    good = good.unionByName(well)
+    first = first.unionByName(bare)
     rest = pages.join(good.select("doc_id"), "doc_id", "left_anti")
     second = kept(checked(kept(without_contents(rest, client)), pages, client))
     fair = verdicts(second).filter("verdict <> 'next'").select("doc_id", "accuracy", F.lit("no contents").alias("mode"))

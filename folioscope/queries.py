@@ -198,7 +198,6 @@ def link_deepest(spark, sf_dir):
 
 @query()
 def link_first_match(spark, sf_dir):
-    """Tests hold this against a plain descent."""
     return link.first_match(ranged(spark, sf_dir))
 
 
@@ -300,7 +299,7 @@ def header_tables(spark, sf_dir):
     return outline.header_tables(t).select("doc_id", "page_no", "is_page_header")
 
 
-_BOXES = "b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, 1 AS page_no, CASE WHEN l_linenumber % 3 = 0 THEN 'image' ELSE 'text' END AS kind, l_quantity AS x0, l_tax * 100 AS y0, l_quantity + 10 AS x1, l_tax * 100 + 5 AS y1 FROM lineitem WHERE l_orderkey <= 2000), t AS (SELECT o_orderkey AS doc_id, 1 AS page_no, 10.0 AS x0, 1.0 AS y0, 40.0 AS x1, 7.0 AS y1, o_orderkey % 2 = 0 AS is_page_header FROM orders)"
+_BOXES = "b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, 1 AS page_no, CASE WHEN l_linenumber % 3 = 0 THEN 'image' ELSE 'text' END AS kind, l_quantity AS x0, l_tax * 100 AS y0, l_quantity + 10 AS x1, l_tax * 100 + 5 AS y1 FROM lineitem), t AS (SELECT o_orderkey AS doc_id, 1 AS page_no, 10.0 AS x0, 1.0 AS y0, 40.0 AS x1, 7.0 AS y1, o_orderkey % 2 = 0 AS is_page_header FROM orders)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,24 +309,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BOXES} SELECT doc_id, pos FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND (b.kind = 'text' OR t.is_page_header)
   AND greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.3)""")
 def bbox_suppress(spark, sf_dir):
-    """The boxes that its SQL names; bbox_suppress_all has every box."""
-    return bbox_suppress_all(spark, sf_dir).filter("doc_id <= 2000")
-
-
-@query()
-def bbox_suppress_all(spark, sf_dir):
     t = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "1 AS page_no", "array(10D, 1D, 40D, 7D) AS bbox", "o_orderkey % 2 = 0 AS is_page_header")
     return link.suppressed(boxes(spark, sf_dir), t).select("doc_id", "pos")
 
 
 @query(f"""WITH {_BOXES} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN pos = 2 THEN NULL ELSE round(y0, 2) END NULLS LAST, CASE WHEN pos = 2 THEN NULL ELSE round(x0, 2) END NULLS LAST, pos) AS item_no FROM b""")
 def page_order(spark, sf_dir):
-    """The boxes that its SQL names; page_order_all has every box."""
-    return page_order_all(spark, sf_dir).filter("doc_id <= 2000")
-
-
-@query()
-def page_order_all(spark, sf_dir):
     return longs(B.page_order(boxes(spark, sf_dir).withColumn("bbox", F.when(F.col("pos") != 2, F.col("bbox")))).select("doc_id", "pos", "item_no"), "item_no")
 
 

@@ -48,7 +48,8 @@ def latest(events: DataFrame, task: str = "task_id", order: tuple[str, ...] = ("
 
 def durations(events: DataFrame, task: str = "task_id", ts: str = "ts") -> DataFrame:
     """events with the seconds since the event of the task before."""
-    return events.withColumn("waited_s", F.col(ts).cast("double") - F.lag(ts).over(Window.partitionBy(task).orderBy(ts, "seq")).cast("double"))
+    at = F.col(ts).cast("timestamp")  # times without a zone are read in that of the session
+    return events.withColumn("waited_s", at.cast("double") - F.lag(at).over(Window.partitionBy(task).orderBy(ts, "seq")).cast("double"))
 
 
 def post(url: str, payload: dict, attempts: int = CALLBACK_ATTEMPTS, timeout_s: float = 30, send: Callable | None = None, sleep=time.sleep) -> int:

@@ -18,6 +18,8 @@ class Reader(enrich.Client):
             return json.dumps({"answer": "yes" if "CONTENTS" in text else "no"})
         if prompt.startswith("Does this table"):
             return json.dumps({"answer": "yes" if ": " in text else "no"})
+        if prompt.startswith("Does the list hold"):
+            return json.dumps({"answer": "yes"})
         if prompt.startswith("Turn this"):
             rows = [x.split(": ") for x in text.split("\n") if ": " in x]
             return json.dumps({"result": [{"structure": str(i + 1), "title": t, "page": p} for i, (t, p) in enumerate(rows)]})
