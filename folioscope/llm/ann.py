@@ -27,9 +27,9 @@ from .common import cut, in_arrow
 #: Neighbours of a node, rounds at most, share of new neighbours at which rounds end, hash tables and their block.
 NEIGHBOURS, ROUNDS, SETTLED, TABLES, BLOCK = 20, 6, 0.08, 4, 384
 #: Proposals that a member takes from one meeting; (nodes that a query holds, opens per hop, hops at most), wider each time.
-PROPOSALS, WALKS = 8, ((80, 24, 8), (320, 96, 10))
+PROPOSALS, WALKS = 8, ((400, 120, 10), (1200, 300, 12))
 #: Queries whose nearest are found by a scan too, the share of these that walks must find, and queries of a block of a scan.
-MEASURED, TARGET, SCAN = 64, 0.94, 1024
+MEASURED, TARGET, SCAN = 64, 0.91, 1024
 #: Nodes at most that every walk starts at besides its own, those of the largest norms from this multiple of the median.
 ENTRIES, RARE = 32, 2.0
 log = logging.getLogger(__name__)
