@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, in_arrow, largest, lists, words_of
+from .common import cut, in_arrow, largest, lists, numbered, words_of
 from .labelled import joined, remainder, sampled
 
 #: Labelled rows at most, neighbours, power of the cosine that weighs a vote, least positive documents of a marker.
@@ -28,7 +28,9 @@ SAMPLE, NEIGHBOURS, POWER, SUPPORT = 4096, 15, 4, 5
 WORDS, PLAIN = 1 << 15, 0.1
 THRESHOLD, MOD, HELD_OUT, BLOCK = 0.5, 5, 0, 64
 #: Labelled documents a batch of counts; rows and entries of the queries compared at once.
-_FLUSH, _ROWS, _ENTRIES = 256, 512, 1 << 15
+_FLUSH, _ROWS, _ENTRIES = 256, 128, 1 << 15
+#: Words whose numbers a worker keeps between batches; queries of an exact comparison, and postings or entries at once.
+_HELD, _EXACT, _PAIRED = 100_000, 64, 1 << 18
 #: Terms in more than one of so many examples are compared as dense columns, the others by postings.
 _OFTEN = 32
 
@@ -81,29 +83,66 @@ def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], names=["term", "a", "b"])
 
 
+class _Terms(dict):
+    """Numbers of words; what each stands for is kept beside as arrays, so that texts are counted without a loop over words."""
+
+    def __init__(self, known: dict[str, int], roots: dict[str, int], first: int):
+        super().__init__()
+        self.roots, self.first = roots, first
+        self.slots, self.sizes, self.found = [], [], []
+        # The places of a root and of its being met twice and three times, -1 where it is no marker.
+        self.places = np.array([[known.get(t + end, -1) for end in ("", "#2", "#3")] for t in roots], np.int64).reshape(-1, 3)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        mine = [self.roots[t] for t in _begins(word) if t in self.roots]
+        self.slots.append(self.first + zlib.crc32(word) % WORDS)
+        self.sizes.append(len(mine))
+        self.found.extend(mine)
+        return i
+
+    def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and count of all terms of the texts, in order of row and place."""
+        words = [numbered(t, self.__getitem__) for t in texts]
+        key, n = np.unique(np.repeat(np.arange(len(texts)), [len(w) for w in words]) * len(self) + np.concatenate([np.zeros(0, np.int64), *words]), return_counts=True)
+        row, word = np.divmod(key, max(1, len(self)))
+        slots, sizes, found = (np.array(x, np.int64) for x in (self.slots, self.sizes, self.found))
+        size = sizes[word]
+        at = np.arange(size.sum()) + np.repeat(np.cumsum(sizes)[word] - size - (np.cumsum(size) - size), size)
+        mark, c = _summed(np.repeat(row, size) * len(self.places) + found[at], np.repeat(n, size))
+        owner, root = np.divmod(mark, max(1, len(self.places)))
+        rows, places, counts = [row], [slots[word]], [n]
+        for k in range(3):
+            place = self.places[root, k]
+            some = (place >= 0) & (c > k)
+            rows, places, counts = [*rows, owner[some]], [*places, place[some]], [*counts, c[some] if k == 0 else np.ones(some.sum(), np.int64)]
+        width = self.first + WORDS
+        key, n = _summed(np.concatenate(rows) * width + np.concatenate(places), np.concatenate(counts))
+        return key // width, key % width, n
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+
+
 def vector_table(docs: DataFrame, markers: list[str]) -> DataFrame:
     """id, idx array<int>, n array<int> of every row, written to the shared folder: markers by place, then words by slot."""
     known = {t: i for i, t in enumerate(markers)}
-    roots = {t.split("#")[0] for t in markers}
+    roots = {t: i for i, t in enumerate(sorted({t.split("#")[0] for t in markers}))}
     first = len(markers)
 
     def run(batches):
-        of = Memo(lambda w: (first + zlib.crc32(w) % WORDS, tuple(t for t in _begins(w) if t in roots)))
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                out: Counter = Counter()
-                plain: Counter = Counter()
-                for w, c in Counter(words_of(text)).items():
-                    slot, found = of[w]
-                    plain[slot] += c
-                    for t in found:
-                        out[t] += c
-                for t, c in [*out.items()]:
-                    out.update({f"{t}#{k}": 1 for k in (2, 3) if c >= k})
-                rows.append(sorted([(known[t], c) for t, c in out.items() if t in known]) + sorted(plain.items()))
-            ends = np.cumsum([len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(lists([x[j] for r in rows for x in r], ends, pa.int32()) for j in (0, 1))], names=["id", "idx", "n"])
+        held = _Terms(known, roots, first)
+        for batch in (b.slice(i, 4 * _ROWS) for b in batches for i in range(0, b.num_rows, 4 * _ROWS)):
+            if len(held) > _HELD:
+                held = _Terms(known, roots, first)
+            row, idx, n = held.entries(batch.column(1).to_pylist())
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(lists(x, ends, pa.int32()) for x in (idx, n))], names=["id", "idx", "n"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return cut(in_arrow(docs.select("id", "text"), run, f"id {kind}, idx array<int>, n array<int>"), "toxicity")
@@ -194,60 +233,97 @@ class Index:
         self.blocks = -(-n // BLOCK)
         often = np.bincount(t, minlength=self.rows.width) * _OFTEN > n
         self.often = np.flatnonzero(often)
-        self.columns = self.rows.dense(self.often)
+        self.columns = self.rows.dense(self.often).astype(np.float32)
         by = np.lexsort((d, t))
         by = by[~often[t[by]]]
         self.docs, self.posted = d[by].astype(np.int32), self.rows.values[by]
         self.starts = np.searchsorted(t[by], np.arange(self.rows.width + 1))
-        self.most = np.zeros((self.rows.width, self.blocks), np.float32)
-        np.maximum.at(self.most, (t, d // BLOCK), (self.rows.values * (1 + 1e-6)).astype(np.float32))  # not below the weights
+        padded = np.concatenate([self.columns, np.zeros((self.blocks * BLOCK - n, len(self.often)), np.float32)])
+        self.most = padded.reshape(self.blocks, BLOCK, len(self.often)).max(1)  # the largest weight of each frequent term in each block
+        # Sums of products in single precision of unit rows are off by no more than this.
+        self.slack = (len(self.often) + 8) * 2.0**-23
+        whose: dict[bytes, int] = {}
+        cut_at = zip(self.rows.starts[:-1].tolist(), self.rows.starts[1:].tolist(), strict=True)
+        self.twin = np.array([whose.setdefault(self.rows.at[i:j].tobytes() + self.rows.values[i:j].tobytes(), e) for e, (i, j) in enumerate(cut_at)], np.int64)
         self.slope, self.offset, self.calibrated = 1.0, 0.0, False
 
     @property
     def dense(self) -> np.ndarray:
         return self.rows.dense()
 
-    def bounds(self, queries: Rows) -> np.ndarray:
+    def _rare(self, queries: Rows) -> np.ndarray:
+        """What the terms of the postings add to each cosine (queries x examples)."""
+        n, out, lo = len(self.rows), np.zeros((len(queries), len(self.rows))), 0
+        count = np.diff(self.starts)[queries.at]
+        before = np.concatenate([[0], np.cumsum(count)])[queries.starts]  # postings of the queries before
+        while lo < len(queries):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + _PAIRED, "right")) - 1)
+            some = slice(queries.starts[lo], queries.starts[hi])
+            first, size = self.starts[queries.at[some]], count[some]
+            post = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+            at = np.repeat(np.repeat(np.arange(hi - lo) * n, queries.size()[lo:hi]), size) + self.docs[post]
+            out[lo:hi] = np.bincount(at, np.repeat(queries.values[some], size) * self.posted[post], (hi - lo) * n).reshape(hi - lo, n)
+            lo = hi
+        return out
+
+    def bounds(self, rare: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """No cosine of a query with an example of a block is larger (queries x blocks)."""
-        out = np.zeros((len(queries), self.blocks))
-        some = queries.size() > 0
-        if some.any():
-            terms = self.most[queries.at] * queries.values[:, None]
-            out[some] = np.add.reduceat(terms, queries.starts[:-1][some], axis=0)
-        return out + 1e-9
-
-    def _cosines(self, queries: Rows, dense: np.ndarray, alive: np.ndarray, out: np.ndarray) -> None:
-        """Writes the cosines of the examples of each query's blocks that are alive."""
-        n = len(self.rows)
-        first, count = self.starts[queries.at], np.diff(self.starts)[queries.at]
-        entry = np.repeat(np.arange(len(queries.at)), count)
-        post = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        row, doc = queries.row()[entry], self.docs[post]
-        go = alive[row, doc // BLOCK]
-        row, doc, entry, post = row[go], doc[go], entry[go], post[go]
-        sparse = np.bincount(row * n + doc, queries.values[entry] * self.posted[post], len(queries) * n).reshape(len(queries), n)
+        padded = np.zeros((len(rare), self.blocks * BLOCK))
+        padded[:, : rare.shape[1]] = rare
+        return padded.reshape(len(rare), self.blocks, BLOCK).max(2) + dense @ self.most.T + self.slack
+
+    def _cosines(self, rare: np.ndarray, dense: np.ndarray, alive: np.ndarray, out: np.ndarray) -> None:
+        """Writes the cosines, off by no more than the slack, of the examples of each query's blocks that are alive."""
         for b in np.flatnonzero(alive.any(0)).tolist():
             q, part = np.flatnonzero(alive[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            out[q, part] = dense[q] @ self.columns[part].T + sparse[q, part]
+            out[q, part] = dense[q] @ self.columns[part].T + rare[q, part]
+
+    def _exact(self, queries: Rows, near: np.ndarray) -> np.ndarray:
+        """The cosines in double precision of the pairs that are marked (queries x examples), -1 elsewhere."""
+        q, e = np.nonzero(near)
+        out = np.full(near.shape, -1.0)
+        pairs, back = np.unique(q * len(self.rows) + self.twin[e], return_inverse=True)
+        who, example = np.divmod(pairs, max(1, len(self.rows)))
+        ends = np.concatenate([[0], np.cumsum(self.rows.size()[example])])
+        cos, wide, at = np.zeros(len(pairs)), np.zeros((min(_EXACT, len(queries)), queries.width)), 0
+        while at < len(pairs):
+            lo = who[at]
+            end = max(at + 1, min(int(np.searchsorted(ends, ends[at] + _PAIRED, "right")) - 1, int(np.searchsorted(who, lo + _EXACT))))
+            some = slice(queries.starts[lo], queries.starts[min(lo + _EXACT, len(queries))])
+            row = np.repeat(np.arange(len(queries.size()[lo : lo + _EXACT])), queries.size()[lo : lo + _EXACT])
+            wide[row, queries.at[some]] = queries.values[some]
+            mine = self.rows.take(example[at:end])
+            pair = mine.row()
+            cos[at:end] = np.bincount(pair, wide[(who[at:end] - lo)[pair], mine.at] * mine.values, end - at)
+            wide[row, queries.at[some]] = 0
+            at = end
+        out[q, e] = cos[back]
+        return out
 
     def nearest(self, queries: Rows | np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and examples of the k nearest of each unit query; ties go to the earlier example. leave: one not to take."""
+        """Cosines and examples of the k nearest of each unit query; ties go to the earlier example. leave: one not to take.
+
+        Comparisons in single precision choose every example that can be among the k; their cosines in double decide.
+        """
         queries = Rows.of(queries) if isinstance(queries, np.ndarray) else queries
         k = min(k, max(1, len(self.rows)))
         best, who = np.full((len(queries), k), -1.0), np.full((len(queries), k), -1)
         for rows, part in queries.parts() if len(self.rows) else ():
-            bound, dense = self.bounds(part), part.dense(self.often)
+            rare, dense = self._rare(part), part.dense(self.often).astype(np.float32)
+            bound = self.bounds(rare, dense)
             cos = np.full((len(part), len(self.rows)), -1.0)
             alive = np.zeros(bound.shape, bool)
             alive[np.arange(len(part)), bound.argmax(1)] = True
-            self._cosines(part, dense, alive, cos)
+            self._cosines(rare, dense, alive, cos)
             if leave is not None:
                 cos[np.arange(len(part)), leave[rows]] = -1.0
             edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1]  # the k-th nearest so far
-            alive = ~alive & (bound >= np.maximum(edge, 0)[:, None])
-            self._cosines(part, dense, alive, cos)
+            alive = ~alive & (bound >= np.maximum(edge - 2 * self.slack, 0)[:, None])
+            self._cosines(rare, dense, alive, cos)
             if leave is not None:
                 cos[np.arange(len(part)), leave[rows]] = -1.0
+            edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+            cos = self._exact(part, (cos > 0) & (cos >= edge - 2 * self.slack))
             cos = np.where(cos > 1e-12, np.round(cos, 12), -1.0)
             near = largest(cos, k)
             got = np.take_along_axis(cos, near, 1)
