@@ -54,6 +54,46 @@ def test_block_max_search_is_exact():
     assert np.allclose(np.take_along_axis(cos, who, 1)[who >= 0], best[who >= 0], atol=1e-12)
 
 
+def test_block_max_search_with_copies_and_small_pieces(monkeypatch):
+    """Equal and nearly equal examples, empty rows, and terms that are all rare or all frequent, in pieces of any size."""
+    rng = np.random.default_rng(5)
+    for often, paired in ((1e9, 50), (0, 50), (32, 1 << 18)):
+        monkeypatch.setattr(toxicity, "_OFTEN", often)
+        monkeypatch.setattr(toxicity, "_PAIRED", paired)
+        dense = rng.random((300, 60)) * (rng.random((300, 60)) < 0.2)
+        dense[100:200] = dense[100] * (1 + 1e-9 * rng.random((100, 60)))
+        dense[200:240] = dense[100]
+        dense[250:255] = 0
+        dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+        index = toxicity.Index(np.ones(60), dense, rng.integers(0, 2, 300).astype(float), np.arange(300))
+        best, who = index.nearest(dense, 15)
+        cos = np.round(dense @ index.dense.T, 12)
+        want = np.argsort(-cos, axis=1, kind="stable")[:, :15]
+        got = np.take_along_axis(cos, want, 1)
+        assert np.allclose(np.maximum(best, 0), got, atol=1e-11)
+        assert np.allclose(np.take_along_axis(cos, np.maximum(who, 0), 1)[who >= 0], best[who >= 0], atol=1e-11)
+        assert (who[250:255] == -1).all()
+
+
+def test_terms_agree_with_the_plain_count():
+    texts = ["", "bad badly BAD bad", "a a a b", "Ünder über über", "x" * 50 + " badge", "good " * 4000]
+    plain = [toxicity.terms_of(t) for t in texts]
+    markers = sorted({t for p in plain for t in p if t.startswith(("^ba", "bad", "a", "good", "^goo"))})
+    roots = {t: i for i, t in enumerate(sorted({t.split("#")[0] for t in markers}))}
+    for known, of in (({t: i for i, t in enumerate(markers)}, roots), ({}, {})):
+        row, at, n = toxicity._Terms(known, of, len(known)).entries(texts)
+        names = {i: t for t, i in known.items()}
+        for r, (text, want) in enumerate(zip(texts, plain, strict=True)):
+            got = {int(a): int(c) for a, c in zip(at[row == r], n[row == r], strict=True)}
+            assert {names[a]: c for a, c in got.items() if a in names} == {t: c for t, c in want.items() if t in known}
+            slots = {}
+            for w in words(text):
+                slot = len(known) + zlib.crc32(w.encode()) % toxicity.WORDS
+                slots[slot] = slots.get(slot, 0) + 1
+            assert {a: c for a, c in got.items() if a not in names} == slots
+        assert [len(x) for x in toxicity._Terms(known, of, len(known)).entries([])] == [0, 0, 0]
+
+
 def test_every_supported_term_counts(spark):
     """400 words that mark label 1, each in few documents: a held-out text with any of them has evidence."""
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
