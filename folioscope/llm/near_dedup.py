@@ -136,12 +136,12 @@ def _sets(held: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                 found = [shingles(t)[0] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "set"])
 
-    rows = held.select("key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key").select("node", "text")
+    rows = held.select("key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "key").select("node", "text")
     return in_arrow(rows, run, "node long, size long, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, tables: Tables) -> DataFrame:
-    """The pairs (x, y) as links (a, b) whose sets have at least that Jaccard similarity, as a written table.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) as links (a, b) whose sets have at least that Jaccard similarity; not written, so read it once.
 
     The sets are bucketed by node, so only those of the pairs move: each y's to the task of its x, and each x's once.
     """
@@ -160,16 +160,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, tables: Tabl
                 hold.append(ok)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hold, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    one = pairs.select("x").distinct().join(sets, F.col("x") == sets["node"]).select("x", F.col("set").alias("set_x"))
-    other = pairs.join(sets, F.col("y") == sets["node"]).select("x", "y", F.col("set").alias("set_y"))
-    return tables.cut(in_arrow(other.join(one, "x").select("x", "y", "set_x", "set_y"), run, "a long, b long"), "near-links")
+    one = pairs.select("x").distinct().hint("merge").join(sets, F.col("x") == sets["node"]).select("x", F.col("set").alias("set_x"))
+    other = pairs.hint("merge").join(sets, F.col("y") == sets["node"]).select("x", "y", F.col("set").alias("set_y"))
+    return in_arrow(other.join(one.hint("merge"), "x").select("x", "y", "set_x", "set_y"), run, "a long, b long")
 
 
 def _pairs(pairs: DataFrame, tested: DataFrame | None, tables: Tables) -> DataFrame:
     """The pairs (x, y), each once whatever the side, that are not among the tested ones."""
     p = pairs.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.max("x").alias("x"))
     if tested is not None:
-        p = p.join(tested.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), ["a", "b"], "left_anti")
+        p = p.join(tested.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).hint("merge"), ["a", "b"], "left_anti")
     return tables.cut(p.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), "near-pairs")
 
 
@@ -187,66 +187,75 @@ def _prefixes(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             size = [len(x) for x in flat]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(flat))], names=["node", "shingle"])
 
-    held = sets.join(nodes, "node")
+    held = sets.join(nodes.hint("merge"), "node")
     rows = in_arrow(held.select("node", "set"), run, "node long, shingle long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = rows.join(common, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    ranked = rows.join(common.hint("merge"), "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
     own = ranked.groupBy("node").agg(F.max("rank").alias("known"))
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.greatest(F.col("least"), F.ceil(similarity * F.col("size") - 1e-6))) - 1e-6)
-    places = held.join(own, "node").select("node", "comp", "rest", (F.col("known") - overlap + 1).alias("places"))
-    return ranked.join(places, "node").filter("rank <= places").select("node", "comp", "rest", "shingle")
+    places = held.join(own.hint("merge"), "node").select("node", "comp", "rest", (F.col("known") - overlap + 1).alias("places"))
+    return ranked.join(places.hint("merge"), "node").filter("rank <= places").select("node", "comp", "rest", "shingle")
 
 
-def links(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str, similarity: float, tables: Tables) -> DataFrame:
-    """Verified links (a, b) that join every two nodes which share a band and are similar enough, directly or by a path.
+def linked(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str, similarity: float, tables: Tables) -> DataFrame:
+    """node, component of every node that has a verified link: components of all nodes that share bands and are similar enough.
 
     A bucket's members are compared with one pivot, the one that shares most bands with others, not with each other.
     Members outside a bucket's largest component are compared with the most central of them, round after round while
     that brings components together. Members of different components that are left are compared with each other in
     small buckets, and in large ones where their rarest shingles meet, which they must if they are similar. So no link
     that would join two components is left out, and no bucket is gathered in one place.
+
+    Each round's links are added to the components so far. Joins are by merging: a table that happens to be small
+    would else be built in the driver, at some megabytes of heap each, and there are dozens of joins.
     """
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = tables.cut(rows.join(shared, "band"), "near-shared")
-    central = members.groupBy("node").agg(F.sum("n").alias("met"))
-    members = tables.cut(members.join(central, "node"), "near-members")
+    met = F.sum("n").over(Window.partitionBy("node"))  # over at most BANDS rows
+    members = tables.cut(rows.join(shared.hint("merge"), "band").withColumn("met", met), "near-members")
     pivots = members.groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-    sets = _sets(held, nodes.join(central.select("node"), "node").select("node", "key"), text_col)
+    sets = _sets(held, nodes.join(members.select("node").distinct().hint("merge"), "node").select("node", "key"), text_col)
     if _repeated(signed).limit(1).count():  # rows that repeat must not repeat sets
         sets = sets.dropDuplicates(["node"])
     sets = tables.bucketed(sets, "near_sets", "node")
-    tested = _pairs(members.join(pivots, "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None, tables)
-    found = _verified(tested, sets, similarity, tables)
+    tested = _pairs(members.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None, tables)
+    at = components(_verified(tested, sets, similarity), tables=tables)
     members, before = members.select("band", "node", "met", "n"), None
     while True:
-        placed = members.join(components(found, tables=tables), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        placed = members.join(at.hint("merge"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         main = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
-        members = tables.cut(placed.join(main.select("band", F.col("m.comp").alias("main")), "band").withColumn("rest", F.col("comp") != F.col("main")), "near-open")
-        left = members.filter("rest AND n > " + str(_SMALL)).count()
+        members = tables.cut(placed.join(main.select("band", F.col("m.comp").alias("main")).hint("merge"), "band").withColumn("rest", F.col("comp") != F.col("main")), "near-open")
+        some, left = members.agg(F.count(F.lit(1)), F.count_if(F.expr(f"rest AND n > {_SMALL}"))).first()
+        if not some:
+            return at
         if before is not None and left > _SHRINK * before or before == 0:
             break
         rest = members.filter("rest")
         pivots = rest.filter(F.col("n") > _SMALL).groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-        new = rest.join(pivots, "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        new = rest.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
         if before is None:
             few = members.filter(F.col("n") <= _SMALL)
             other = few.select("band", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
-            new = new.unionByName(few.filter("rest").join(other, "band").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
+            new = new.unionByName(few.filter("rest").join(other.hint("merge"), "band").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
         new = _pairs(new, tested, tables)
-        found, tested = found.unionByName(_verified(new, sets, similarity, tables)), tested.unionByName(new)
+        at, tested = _added(at, _verified(new, sets, similarity), tables), tested.unionByName(new)
         before, members = left, members.select("band", "node", "met", "n")
         if not left:
-            return found
+            return at
     large = members.filter(F.col("n") > _SMALL)
-    least = large.join(sets.select("node", "size"), "node").groupBy("band").agg(F.min("size").alias("least"))
-    last = tables.cut(large.join(least, "band").groupBy("node").agg(F.first("comp").alias("comp"), F.max("rest").alias("rest"), F.min("least").alias("least")), "near-last")
+    least = large.join(sets.select("node", "size").hint("merge"), "node").groupBy("band").agg(F.min("size").alias("least"))
+    last = tables.cut(large.join(least.hint("merge"), "band").groupBy("node").agg(F.first("comp").alias("comp"), F.max("rest").alias("rest"), F.min("least").alias("least")), "near-last")
     rare = tables.cut(_prefixes(sets, last, similarity), "near-rare")
     mixed = rare.groupBy("shingle").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p != q").select("shingle")
-    rare = rare.join(mixed, "shingle")
+    rare = rare.join(mixed.hint("merge"), "shingle")
     other = rare.select("shingle", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
-    new = rare.filter("rest").join(other, "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y")
-    return found.unionByName(_verified(_pairs(new, tested, tables), sets, similarity, tables))
+    new = rare.filter("rest").join(other.hint("merge"), "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y")
+    return _added(at, _verified(_pairs(new, tested, tables), sets, similarity), tables)
+
+
+def _added(at: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """The components at (node, component) with further links (a, b)."""
+    return components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), tables=tables)
 
 
 def _repeated(signed: DataFrame) -> DataFrame:
@@ -261,13 +270,13 @@ def _classes(held: DataFrame, id_col: str, text_col: str, similarity: float, tab
     # Numbered once and written, so that pairs, links and components are of numbers.
     nodes = some.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("key", "bands")).alias("r"))
     nodes = tables.cut(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "least", "r.key", "r.bands"), "near-nodes")
-    at = components(links(held, signed, nodes, text_col, similarity, tables), tables=tables)
-    placed = tables.cut(nodes.join(at, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("comp")), "near-placed")
+    at = linked(held, signed, nodes, text_col, similarity, tables)
+    placed = tables.cut(nodes.join(at.hint("merge"), "node", "left").select("digest", "least", F.coalesce("component", "node").alias("comp")), "near-placed")
     # Written, so that the join on a class of very many nodes can be split.
     least = tables.cut(placed.groupBy("comp").agg(F.min("least").alias("class_id")), "near-least")
     rows = signed.select("id", "key", "digest", (F.size("bands") > 0).alias("some"))
-    by = placed.join(least, "comp").select("digest", "comp", "class_id")
-    words = rows.filter("some").join(by, "digest").select("id", "key", "comp", "class_id")
+    by = placed.join(least.hint("merge"), "comp").select("digest", "comp", "class_id")
+    words = rows.filter("some").join(by.hint("merge"), "digest").select("id", "key", "comp", "class_id")
     none = rows.filter("NOT some").select("id", "key", F.lit(None).cast("long").alias("comp"), F.lit(None).cast(signed.schema["id"].dataType).alias("class_id"))
     return cut(words.unionByName(none), "near-rows")
 
@@ -296,7 +305,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     held, i, t = _held(docs, id_col, text_col, Tables(docs.sparkSession))  # read by the result, so it stays
     rows = _classes(held, i, t, similarity, tables).filter("comp IS NOT NULL")
     keeper = tables.cut(rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k")).select("comp", F.col("k.key").alias("kept")), "near-kept")
-    gone = cut(rows.join(keeper, "comp").filter("key != kept").select("key").distinct(), "near-gone")
+    gone = cut(rows.join(keeper.hint("merge"), "comp").filter("key != kept").select("key").distinct(), "near-gone")
     again = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "near-again")
     tables.drop()
     kept = held.join(gone, "key", "left_anti")

@@ -132,3 +132,33 @@ def test_rows_not_ids_are_kept(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, sha string")
     kept = sorted((r.sha for r in near_dedup.keep_one(df).collect()))
     assert kept == ["a", "b", "d", "f", "g", "g", "h"]
+
+
+def _ran(spark, f):
+    """The final plans of what f runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    f()
+    bus.waitUntilEmpty()
+    found = store.executionsList(before, 10_000)
+    return [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+
+def test_links_that_are_stars_take_no_round(spark):
+    star = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51)], "a long, b long")
+    at = []
+    assert len(_ran(spark, lambda: at.append(components(star)))) == 2
+    assert {r[0]: r[1] for r in at[0].collect()} == {**{i: 1 for i in range(1, 40)}, 50: 50, 51: 50}
+
+
+def test_small_tables_are_not_built_in_the_driver(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(80)]
+        for _ in range(20):  # families above _SMALL, so that all rounds run
+            rows.append((len(rows), " ".join(w if rng.random() > 0.03 else f"w{rng.randrange(400)}" for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = _ran(spark, lambda: near_dedup.near_duplicates(df))
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
