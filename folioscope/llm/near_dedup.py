@@ -27,6 +27,8 @@ REGISTERS = BANDS * ROWS
 _BATCH = 256
 #: Rows of a bucket up to which members of different components are compared with each other.
 _SMALL = 16
+#: About so many pairs of one pivot are compared in one place.
+_PART = 64
 #: Rounds of comparisons with a further pivot go on while they bring the rows outside main components below this share.
 _SHRINK = 0.8
 
@@ -143,7 +145,7 @@ def _sets(held: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) as links (a, b) whose sets have at least that Jaccard similarity; not written, so read it once.
 
-    The sets are bucketed by node, so only those of the pairs move: each y's to the task of its x, and each x's once.
+    The sets are bucketed by node, so only those of the pairs move: each y's to a part of its x, and each x's to its parts.
     """
 
     def run(batches):
@@ -160,17 +162,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 hold.append(ok)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hold, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    one = pairs.select("x").distinct().hint("merge").join(sets, F.col("x") == sets["node"]).select("x", F.col("set").alias("set_x"))
-    other = pairs.hint("merge").join(sets, F.col("y") == sets["node"]).select("x", "y", F.col("set").alias("set_y"))
-    return in_arrow(other.join(one.hint("merge"), "x").select("x", "y", "set_x", "set_y"), run, "a long, b long")
+    one = pairs.select("x", "part").distinct().hint("merge").join(sets, F.col("x") == sets["node"]).select("x", "part", F.col("set").alias("set_x"))
+    other = pairs.hint("merge").join(sets, F.col("y") == sets["node"]).select("x", "y", "part", F.col("set").alias("set_y"))
+    return in_arrow(other.join(one.hint("merge"), ["x", "part"]).select("x", "y", "set_x", "set_y"), run, "a long, b long")
 
 
 def _pairs(pairs: DataFrame, tested: DataFrame | None, tables: Tables) -> DataFrame:
-    """The pairs (x, y), each once whatever the side, that are not among the tested ones."""
-    p = pairs.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.max("x").alias("x"))
+    """x, y, part of the pairs (x, y, n), each once whatever the side, that are not among the tested ones.
+
+    n: size of the group that a pair comes from; the pairs of one x are dealt into parts by it.
+    """
+    p = pairs.select("x", "n", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.max("x").alias("x"), F.max("n").alias("n"))
     if tested is not None:
         p = p.join(tested.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).hint("merge"), ["a", "b"], "left_anti")
-    return tables.cut(p.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), "near-pairs")
+    p = p.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"), "n")
+    return tables.cut(p.select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / _PART)).alias("part")), "near-pairs")
 
 
 def _prefixes(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -218,7 +224,7 @@ def linked(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str,
     if _repeated(signed).limit(1).count():  # rows that repeat must not repeat sets
         sets = sets.dropDuplicates(["node"])
     sets = tables.bucketed(sets, "near_sets", "node")
-    tested = _pairs(members.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")), None, tables)
+    tested = _pairs(members.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"), "n"), None, tables)
     at = components(_verified(tested, sets, similarity), tables=tables)
     members, before = members.select("band", "node", "met", "n"), None
     while True:
@@ -232,11 +238,11 @@ def linked(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str,
             break
         rest = members.filter("rest")
         pivots = rest.filter(F.col("n") > _SMALL).groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-        new = rest.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        new = rest.join(pivots.hint("merge"), "band").filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"), "n")
         if before is None:
             few = members.filter(F.col("n") <= _SMALL)
             other = few.select("band", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
-            new = new.unionByName(few.filter("rest").join(other.hint("merge"), "band").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y"))
+            new = new.unionByName(few.filter("rest").join(other.hint("merge"), "band").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y", "n"))
         new = _pairs(new, tested, tables)
         at, tested = _added(at, _verified(new, sets, similarity), tables), tested.unionByName(new)
         before, members = left, members.select("band", "node", "met", "n")
@@ -249,7 +255,7 @@ def linked(held: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str,
     mixed = rare.groupBy("shingle").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p != q").select("shingle")
     rare = rare.join(mixed.hint("merge"), "shingle")
     other = rare.select("shingle", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("rest").alias("rest_y"))
-    new = rare.filter("rest").join(other.hint("merge"), "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y")
+    new = rare.filter("rest").join(other.hint("merge"), "shingle").filter("comp != comp_y AND (NOT rest_y OR node < y)").select(F.col("node").alias("x"), "y", F.lit(1).alias("n"))
     return _added(at, _verified(_pairs(new, tested, tables), sets, similarity), tables)
 
 

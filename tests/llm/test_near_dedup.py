@@ -162,3 +162,18 @@ def test_small_tables_are_not_built_in_the_driver(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plans = _ran(spark, lambda: near_dedup.near_duplicates(df))
     assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_the_pairs_of_one_pivot_are_dealt_out(spark):
+    tables = near_dedup.Tables(spark)
+    rows = [(1, i, 3000) for i in range(2, 3002)] + [(2, 1, 5), (7, 8, 2), (8, 7, 2)]
+    found = near_dedup._pairs(spark.createDataFrame(rows, "x long, y long, n long"), spark.createDataFrame([(2, 9), (3, 1)], "x long, y long"), tables)
+    parts = {}
+    for x, y, part in found.collect():
+        parts.setdefault((x, part), []).append(tuple(sorted((x, y))))
+    assert max(map(len, parts.values())) <= 2 * near_dedup._PART
+    assert sorted(sum(parts.values(), [])) == sorted([(1, i) for i in range(2, 3002) if i != 3] + [(7, 8)])
+    sets = spark.createDataFrame([(i, 8, bytes([i % 50, *[0] * 7])) for i in range(1, 3002)], "node long, size long, set binary")
+    links = near_dedup._verified(found, sets, 0.8)
+    assert sorted(tuple(sorted(r)) for r in links.collect()) == [(1, i) for i in range(51, 3002, 50)]
+    tables.drop()
