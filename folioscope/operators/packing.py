@@ -1,9 +1,16 @@
-"""Greedy packing of pages or blocks into prompt-sized groups, as a fold in the JVM."""
+"""Greedy packing of pages or blocks into prompt-sized groups, as one pass over units in order."""
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 
 def groups(units: DataFrame, max_tokens: int = 20_000, overlap: int = 1, guard: bool = False, order: str = "page_no", doc: str = "doc_id") -> DataFrame:
@@ -12,26 +19,39 @@ def groups(units: DataFrame, max_tokens: int = 20_000, overlap: int = 1, guard:
     All units are one group if they fit max_tokens. Otherwise the average is ceil((total / ceil(total / max) + max) / 2),
     and a group is closed before the unit that would pass it; the next starts `overlap` units earlier. Without guard a
     first unit above the average closes an empty group (last = -1), which pages keep; blocks are packed with guard.
+    A null count is no tokens. Units stream by in order: no more than `overlap` of them are held, however long a document is.
     """
-    held = units.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "token_count"))), lambda x: x["token_count"].cast("long")).alias("t"))
-    total = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
-    parts = F.ceil(F.col("total") / max_tokens)
-    sized = held.withColumn("total", total).withColumn("average", F.ceil((F.col("total") / parts + max_tokens) / 2))
-    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
-    empty = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("start"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc, i):
-        size = F.element_at("t", i + 1)
-        over = acc["n"] + size > F.col("average")
-        if guard:
-            over = over & (acc["start"] < i)
-        back = F.greatest(i - overlap, F.lit(0))
-        carried = F.aggregate(F.slice("t", back + 1, i - back), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.when(over, F.struct(F.concat(acc["done"], F.array(span(acc["start"], i - 1))).alias("done"), back.cast("int").alias("start"), (carried + size).alias("n"))).otherwise(
-            F.struct(acc["done"].alias("done"), acc["start"].alias("start"), (acc["n"] + size).alias("n"))
-        )
-
-    n = F.size("t")
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), empty, step)
-    closed = sized.withColumn("g", F.when(F.col("total") <= max_tokens, F.array(span(F.lit(0), n - 1))).otherwise(F.concat(folded["done"], F.array(span(folded["start"], n - 1)))))
-    return closed.select(doc, F.posexplode("g").alias("group_no", "s")).select(doc, "group_no", "s.first", "s.last")
+    size = F.coalesce(F.col("token_count").cast("long"), F.lit(0))
+    by = Window.partitionBy(doc).orderBy(order, "token_count")
+    sized = units.select(doc, size.alias("_size"), F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"), F.row_number().over(by).alias("_place"))
+
+    names = [doc, "group_no", "first", "last"]
+
+    def made(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, *[pa.int32()] * 3), strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, at, number, start, held, average, before = None, -1, 0, 0, 0, None, deque(maxlen=overlap)
+        for batch in batches:
+            out = []
+            for key, size, total, place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if place == 1:
+                    if at >= 0:
+                        out.append((d, number, start, at))
+                    d, number, start, held = key, 0, 0, 0
+                    before.clear()
+                    average = math.ceil((total / math.ceil(total / max_tokens) + max_tokens) / 2) if total > max_tokens else None
+                at = place - 1
+                if average is not None:
+                    if held + size > average and (start < at or not guard):
+                        out.append((d, number, start, at - 1))
+                        number, start, held = number + 1, max(at - overlap, 0), sum(before)
+                    held += size
+                    before.append(size)
+            yield made(out, batch.column(0).type)
+        if at >= 0:
+            yield made([(d, number, start, at)], batch.column(0).type)
+
+    schema = StructType([StructField(doc, units.schema[doc].dataType), *(StructField(n, IntegerType()) for n in names[1:])])
+    return sized.mapInArrow(run, schema)  # in the order in which the window leaves them

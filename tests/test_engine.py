@@ -154,6 +154,20 @@ def test_packing(spark, overlap, guard):
     assert got == {d: plain(t) for d, t in docs.items()}
 
 
+def test_packing_of_empty_and_long_documents(spark, tmp_path):
+    from folioscope.queries import QUERIES
+
+    texts = {1: "", 2: None, 3: "\n\n", 4: "x" * 1596 + "\n", 5: ("x" * 400 + "\n") * 30_000, 6: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["group_pack"](spark, str(tmp_path)).orderBy("doc_id", "group_no").collect():
+        got.setdefault(r.doc_id, []).append((r.group_no, r.first, r.last))
+    assert {d: g for d, g in got.items() if d != 5} == {1: [(0, 0, 0)], 2: [(0, 0, 0)], 3: [(0, 0, 2)], 4: [(0, 0, 1)], 6: [(0, 0, 0)]}
+    assert got[5] == [(i, 3 * i, min(3 * i + 3, 30_000)) for i in range(10_000)]
+    units = spark.createDataFrame([(1, None, 70), (1, 2, None), (1, 3, 80)], "doc_id long, page_no int, token_count int")
+    assert sorted(map(tuple, packing.groups(units, 100).collect())) == [(1, 0, 0, 1), (1, 1, 1, 2)]
+
+
 def test_blocks_keep_their_rules(spark):
     items = spark.createDataFrame([(1, 1, 1, " ab "), (1, 1, 2, ""), (1, 2, 3, "c "), (1, 2, 4, "Page 1 of 2")], "doc_id long, page_no int, line_num int, text string")
     word = blocks.word_blocks(items.withColumnRenamed("page_no", "section_ordinal")).orderBy("block_no").collect()
